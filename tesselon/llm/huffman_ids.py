@@ -18,7 +18,9 @@ together, in the order of their ids' bytes. An empty table gives files with no r
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesselon.llm.bpe_core import byte_chars
 from tesselon.llm.common import col, record, stored, text_slices, texts_of
 
 #: Ids between checkpoints.
@@ -146,29 +149,58 @@ def _tokenizer(path: str):
     return t
 
 
+#: ASCII and the letters of Latin-1: here lower case and normal form act on each character alone.
+_SAFE = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]+")
+#: Fixed value: the pattern of the word vocabulary's pre-tokens, for such characters in lower case.
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9ß-öø-ÿ]+")
+
+
+class _Words(dict):
+    """Ids of a pre-token, by the library's merge model, asked for once."""
+
+    def __init__(self, tokenizer, kind: str):
+        self.merge, self.kind = tokenizer.model.tokenize, kind
+        self.shown = dict(enumerate(byte_chars()))
+
+    def __missing__(self, word: str) -> bytes:
+        shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.shown)
+        self[word] = out = array(self.kind, [t.id for t in self.merge(shown)]).tobytes()
+        return out
+
+
+class _Pieces(dict):
+    """Ids of a piece of text without spaces: from its pre-tokens where these are plain, else by the library as a whole."""
+
+    def __init__(self, tokenizer, kind: str):
+        self.tokenizer, self.kind, self.words = tokenizer, kind, _Words(tokenizer, kind)
+
+    def __missing__(self, piece: str) -> bytes:
+        if _SAFE.fullmatch(piece) and "<|" not in piece:
+            out = b"".join(map(self.words.__getitem__, _WORDS.findall(piece.lower())))
+        else:
+            out = array(self.kind, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        self[piece] = out
+        return out
+
+
 class Tokenizing:
-    """Ids of texts by the tokenizers library.
+    """Ids of texts by the tokenizers library, as little-endian integers of type ``kind``.
 
-    For a vocabulary whose pre-tokens never hold a space or line feed and whose normal form treats what they
-    separate apart, the library's ids of a text are those of its pieces in turn; each worker asks for a piece once.
+    For a lower-casing vocabulary whose pre-tokens never hold a space or line feed, the library's ids of a text
+    are those of its pieces between these in turn, so each worker asks the library for a piece once.
     """
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         self.tokenizer, self.limit = _tokenizer(path), cache_pieces
-        self.known: dict[str, bytes] = {}
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.known = _Pieces(self.tokenizer, self.kind)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.limit:
-            self.known.clear()
-        new = list(set().union(*split) - self.known.keys())
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            ends = (np.cumsum([len(x) for x in found]) * 4).tolist()
-            raw = np.fromiter((i for x in found for i in x), "<u4", ends[-1] // 4).tobytes()
-            self.known.update(zip(new, (raw[a:b] for a, b in zip([0, *ends], ends)), strict=False))
+        for cache in (self.known, self.known.words):
+            if len(cache) > self.limit:
+                cache.clear()
         get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 def tokenized(df: DataFrame, vocabulary: str, end_id: int, key: str, text: str) -> DataFrame:
@@ -177,11 +209,10 @@ def tokenized(df: DataFrame, vocabulary: str, end_id: int, key: str, text: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokenizing(vocabulary)
-        kind = "<u2" if tokens.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        end = np.array([end_id], kind).tobytes()
+        end = array(tokens.kind, [end_id])
         for part in text_slices(batches):
-            found = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in tokens(texts_of(part))]
-            yield record(schema, part.column("key"), [len(x) // int(kind[2]) for x in found], found)
+            found = [x + end.tobytes() for x in tokens(texts_of(part))]
+            yield record(schema, part.column("key"), [len(x) // end.itemsize for x in found], found)
 
     return df.select(col(key).cast("long").alias("key"), col(text).cast("string").alias("text")).mapInArrow(run, "key long, n int, ids binary")
 
@@ -257,8 +288,7 @@ def encode_to_files(df: DataFrame, path: str, vocabulary: str, end_id: int = 1,
 
     rows = tokens.mapInArrow(encode, "segment int, key long, n int, payload binary, checkpoints binary")
     order = ["segment", F.col("key").asc_nulls_first(), "payload"]
-    width = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartition(width, "segment").sortWithinPartitions(*order)
+    rows = rows.repartition("segment").sortWithinPartitions(*order)
     rows.mapInArrow(_blocks, _BLOCK_SQL).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     return path
 
