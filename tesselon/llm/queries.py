@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselon.llm import bpe_codec, huffman_ids, token_counts
+from tesselon.llm import bpe_codec, decontaminate, html_text, huffman_ids, language_id, ngram_join, pii, quality_rules, substring_dedup, token_counts
 from tesselon.llm.common import documents, scratch_path
 
 #: Longest sequence, in tokens, that counts as within the limit.
@@ -20,25 +20,60 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(documents(spark, sf_dir))
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = huffman_ids.encode_to_files(documents(spark, sf_dir), scratch_path(spark, "token-files"), vocabulary("word_bpe_49k.json"), end_id=1)
     return huffman_ids.read_files(spark, path, with_ids=False)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(documents(spark, sf_dir)).drop("spans")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components_of(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_token_ids": op2_token_ids,
+        "op3_substring_dedup": op3_substring_dedup,
+        "op4_quality_rules": op4_quality_rules,
         "op5_bpe_codec": op5_bpe_codec,
+        "op6_html_text": op6_html_text,
         "op7_token_counts": op7_token_counts,
+        "op8_decontaminate": op8_decontaminate,
+        "op9_pii": op9_pii,
+        "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
 
