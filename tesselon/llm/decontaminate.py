@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import col, record, text_slices
+from tesselon.llm.common import col, free_name, text_slices
 
 #: Words of a phrase.
 WINDOW = 8
@@ -192,19 +192,18 @@ def blocks_of(benchmark: DataFrame, key: str, text: str, limit: int = BLOCK_BYTE
 _HITS = "n_words long, spans array<int>, items array<string>"
 
 
-def matches(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``df`` with the struct ``hits``: n_words, spans (start, end, start, end ... in words, merged), items (ids, sorted as strings)."""
+def matches(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", hits: str = "hits") -> DataFrame:
+    """``df`` with the struct ``hits``, by that or the given name: n_words, spans (start, end, start, end ... in words, merged), items (ids, sorted as strings)."""
     spark = df.sparkSession
-    out = df.withColumn("hits", F.lit(None).cast(f"struct<{_HITS.replace(' ', ':').replace(',:', ',')}>"))
+    out = df.withColumn(hits, F.lit(None).cast(f"struct<{_HITS.replace(' ', ':').replace(',:', ',')}>"))
     for block in list(blocks_of(benchmark, item_key, item_text)) or [[]]:
-        out = _one_pass(out, spark.sparkContext.broadcast(block), text)
+        out = _one_pass(out, spark.sparkContext.broadcast(block), text, hits)
     return out
 
 
-def _one_pass(df: DataFrame, given, text: str) -> DataFrame:
+def _one_pass(df: DataFrame, given, text: str, hits: str) -> DataFrame:
     schema = df.schema
-    kinds = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
-    struct = pa.struct(list(kinds))
+    struct = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(given.value)
@@ -216,11 +215,11 @@ def _one_pass(df: DataFrame, given, text: str) -> DataFrame:
                 spans.setdefault(doc, []).append((a, b))
                 items.setdefault(doc, set()).update(phrases.items[phrase])
             rows = []
-            for k, (n, old) in enumerate(zip(counts.tolist(), part.column("hits").to_pylist(), strict=True)):
+            for k, (n, old) in enumerate(zip(counts.tolist(), part.column(hits).to_pylist(), strict=True)):
                 mine = spans.get(k, []) + (list(zip(old["spans"][::2], old["spans"][1::2], strict=True)) if old else [])
                 names = items.get(k, set()) | set(old["items"] if old else ())
                 rows.append({"n_words": n, "spans": [x for span in merged(mine) for x in span], "items": sorted(names)})
-            columns = [pa.array(rows, struct) if name == "hits" else part.column(name) for name in part.schema.names]
+            columns = [pa.array(rows, struct) if name == hits else part.column(name) for name in part.schema.names]
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
     return df.mapInArrow(run, schema)
@@ -240,6 +239,28 @@ def report(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     )
 
 
+def cleaned(df: DataFrame, benchmark: DataFrame, text: str = "text", chars: str | None = "n_chars") -> DataFrame:
+    """``df`` without contaminated rows (two test items or more) and, in the others, without the words of test phrases; ``chars`` follows the text."""
+    hits = free_name(df, "hits")
+    found = matches(df.withColumn(text, col(text).cast("string")), benchmark, text, hits=hits)
+    found = found.where(F.size(col(hits)["items"]) < 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            sizes = batch.column(chars).to_pylist() if chars else []
+            for k, x in enumerate(batch.column(hits).to_pylist()):
+                if x["spans"]:
+                    texts[k] = without_spans(texts[k], x["spans"])
+                    if chars:
+                        sizes[k] = len(texts[k])
+            new = {text: texts} | ({chars: sizes} if chars else {})
+            names = [n for n in batch.schema.names if n != hits]
+            yield pa.RecordBatch.from_arrays([pa.array(new[n], batch.schema.field(n).type) if n in new else batch.column(n) for n in names], names=names)
+
+    return found.mapInArrow(run, found.drop(hits).schema)
+
+
 def without_spans(text: str, spans: list[int]) -> str:
     """The text without the given word spans, from each span's first word to its last word's end."""
     raw = text.encode()

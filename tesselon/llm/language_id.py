@@ -86,7 +86,7 @@ def trained(df: DataFrame, text: str, declared: str, languages: Sequence[str], s
 
 def text_evidence(df: DataFrame, model, key: str, text: str, declared: str, host: str, n_languages: int) -> DataFrame:
     """(key, declared, host, letters, scores): tempered log-likelihoods, the background's last."""
-    schema = pa.schema([("key", pa.int64()), ("declared", pa.string()), ("host", pa.string()), ("letters", pa.int64()), ("scores", pa.list_(pa.float64()))])
+    schema = pa.schema([("key", pa.int64()), ("dig", pa.int64()), ("declared", pa.string()), ("host", pa.string()), ("letters", pa.int64()), ("scores", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
@@ -102,14 +102,15 @@ def text_evidence(df: DataFrame, model, key: str, text: str, declared: str, host
                     sums[full, k] = np.add.reduceat(table[:, k][flat], starts, dtype=np.float64)
             sums *= (np.minimum(1.0, TEXT_WEIGHT / np.maximum(sizes, 1)))[:, None]
             offsets = pa.array(np.arange(len(codes) + 1, dtype=np.int32) * (n_languages + 1))
-            yield record(schema, part.column("key"), part.column("declared"), part.column("host"), sizes, pa.ListArray.from_arrays(offsets, pa.array(sums.ravel())))
+            yield record(schema, part.column("key"), part.column("dig"), part.column("declared"), part.column("host"), sizes, pa.ListArray.from_arrays(offsets, pa.array(sums.ravel())))
 
-    chosen = df.select(col(key).cast("long").alias("key"), F.lower(col(declared).cast("string")).alias("declared"), F.lower(F.coalesce(col(host).cast("string"), F.lit(""))).alias("host"), col(text).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "key long, declared string, host string, letters long, scores array<double>")
+    body = F.coalesce(col(text).cast("string"), F.lit(""))
+    chosen = df.select(col(key).cast("long").alias("key"), F.xxhash64(body).alias("dig"), F.lower(col(declared).cast("string")).alias("declared"), F.lower(F.coalesce(col(host).cast("string"), F.lit(""))).alias("host"), body.alias("text"))
+    return chosen.mapInArrow(run, "key long, dig long, declared string, host string, letters long, scores array<double>")
 
 
 def identified(df: DataFrame, key: str = "doc_id", text: str = "text", declared: str = "lang", host: str = "source", languages: Sequence[str] = LANGUAGES) -> DataFrame:
-    """(key, language, posterior, text_language, accepted) of every row; language '' stands for none."""
+    """(key, dig, language, posterior, text_language, declared, accepted) of every row; language '' stands for none, dig is the text's xxhash64."""
     spark = df.sparkSession
     table = trained(df, text, declared, languages, F.xxhash64(col(key)))
     found = stored(text_evidence(df, spark.sparkContext.broadcast(table), key, text, declared, host, len(languages)), "language")
@@ -150,4 +151,12 @@ def identified(df: DataFrame, key: str = "doc_id", text: str = "text", declared:
     top = F.array_max("fused")
     joined = joined.withColumn("posterior", F.when(F.col("letters") > 0, 1 / F.aggregate(F.transform("fused", lambda x: F.exp(x - top)), F.lit(0.0), lambda acc, x: acc + x)).otherwise(0.0)).withColumn("language", best(F.col("fused")))
     accepted = (F.col("language") != "") & (F.col("posterior") >= MIN_POSTERIOR)
-    return joined.select(F.col("key").alias(key), "language", "posterior", "text_language", "declared", accepted.alias("accepted"))
+    return joined.select(F.col("key").alias(key), "dig", "language", "posterior", "text_language", "declared", accepted.alias("accepted"))
+
+
+def kept(df: DataFrame, key: str = "doc_id", text: str = "text", declared: str = "lang", host: str = "source") -> DataFrame:
+    """The rows of ``df`` that are accepted, with their columns; rows of equal id and text share their fate."""
+    verdicts = identified(df, key, text, declared, host)
+    gone = stored(verdicts.where("NOT accepted").select(col(key).alias("__key"), F.col("dig").alias("__dig")).distinct(), "rejected")
+    same = col(key).cast("long").eqNullSafe(F.col("__key")) & (F.xxhash64(F.coalesce(col(text).cast("string"), F.lit(""))) == F.col("__dig"))
+    return df.join(gone, same, "left_anti")

@@ -190,3 +190,13 @@ def components_of(df: DataFrame, key: str = "doc_id", text: str = "text", size:
         held = stored(going.join(shared, "list").select("list", "key", "n", "lead"), "set-lists")
     out = classes.select("key", "n", "rep").join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "rep")).otherwise(F.col("key")).alias("component_id"))
+
+
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, the one of smallest id, with the columns of ``df``; rows with a null id all stay."""
+    found = components_of(df, key, text)
+    gone = stored(found.where(col(key) != F.col("component_id")).select(col(key).alias("__key")).distinct(), "near-copies")
+    often = stored(found.groupBy(col(key).alias("__key")).agg(F.count("*").alias("__n")).where("__n > 1 AND __key IS NOT NULL").select("__key"), "repeated-ids")
+    mine = col(key).cast("long") == F.col("__key")
+    once = df.join(gone.union(often), mine, "left_anti")
+    return once.unionByName(df.join(often, mine, "left_semi").join(gone, mine, "left_anti").dropDuplicates([key]))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import col
+from tesselon.llm.common import col, free_name
 
 #: Patterns by kind. Each proposes the same spans as its plain form, without backtracking.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -110,20 +110,20 @@ def find_spans(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
     likely = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9](?:[ -]?[0-9]){12}", "phone": "\\+[0-9]", "iban": "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", "ssn": "[0-9]-[0-9]{2}-[0-9]", "tel": "[0-9][ .-][0-9]{4}"}
     kept = df.columns
     body = F.coalesce(col(text).cast("string"), F.lit(""))
-    raw = "__pii_text"
+    raw = "__tesselon_pii_text"
     found = df.withColumn(raw, F.when(body.rlike("[0-9@]"), body))
     none = F.array().cast("array<string>")
+    for kind in rules:
+        found = found.withColumn(f"__tesselon_has_{kind}", F.coalesce(F.col(raw).rlike(likely[kind]), F.lit(False)))
     for kind, rule in rules.items():
-        found = found.withColumn(f"__has_{kind}", F.coalesce(F.col(raw).rlike(likely[kind]), F.lit(False)))
-    for kind, rule in rules.items():
-        found = found.withColumn(f"__m_{kind}", F.when(F.col(f"__has_{kind}"), F.regexp_extract_all(F.col(raw), F.lit(rule), F.lit(0))).otherwise(none))
+        found = found.withColumn(f"__tesselon_m_{kind}", F.when(F.col(f"__tesselon_has_{kind}"), F.regexp_extract_all(F.col(raw), F.lit(rule), F.lit(0))).otherwise(none))
     for kind, rule in rules.items():
-        m = F.col(f"__m_{kind}")
-        found = found.withColumn(f"__b_{kind}", F.when(F.size(m) > 0, F.transform(F.split(F.col(raw), rule, -1), F.length)))
+        m = F.col(f"__tesselon_m_{kind}")
+        found = found.withColumn(f"__tesselon_b_{kind}", F.when(F.size(m) > 0, F.transform(F.split(F.col(raw), rule, -1), F.length)))
     for kind in rules:
-        m, b = F.col(f"__m_{kind}"), F.col(f"__b_{kind}")
-        found = found.withColumn(f"__s_{kind}", F.when(F.size(m) > 0, F.zip_with(m, _starts(b, F.transform(m, F.length)), lambda x, y: F.struct(x.alias("m"), y.alias("s")))))
-    parts = [F.when(F.col(f"__s_{kind}").isNotNull(), _confirmed(kind, F.col(raw), F.col(f"__s_{kind}"))).otherwise(F.array().cast(f"array<{_SPAN}>")) for kind in rules]
+        m, b = F.col(f"__tesselon_m_{kind}"), F.col(f"__tesselon_b_{kind}")
+        found = found.withColumn(f"__tesselon_s_{kind}", F.when(F.size(m) > 0, F.zip_with(m, _starts(b, F.transform(m, F.length)), lambda x, y: F.struct(x.alias("m"), y.alias("s")))))
+    parts = [F.when(F.col(f"__tesselon_s_{kind}").isNotNull(), _confirmed(kind, F.col(raw), F.col(f"__tesselon_s_{kind}"))).otherwise(F.array().cast(f"array<{_SPAN}>")) for kind in rules]
     return found.withColumn(out, F.concat(*parts)).select(*[col(c) for c in kept], out)
 
 
@@ -157,3 +157,13 @@ def redacted(text: Column, spans: Column) -> Column:
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
     return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def masked(df: DataFrame, text: str = "text", chars: str | None = "n_chars") -> DataFrame:
+    """``df`` with its spans masked in the text; ``chars`` follows the text where that changes."""
+    pii = free_name(df, "pii")
+    found = find_spans(df, text, pii)
+    changed = F.size(col(pii)) > 0
+    new = redacted(col(text).cast("string"), col(pii))
+    kept = {text: new} | ({chars: F.when(changed, F.length(new).cast("long")).otherwise(col(chars))} if chars else {})
+    return found.select(*[kept[c].alias(c) if c in kept else col(c) for c in df.columns])

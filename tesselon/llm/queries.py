@@ -21,7 +21,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identified(documents(spark, sf_dir))
+    return language_id.identified(documents(spark, sf_dir)).drop("dig")
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
