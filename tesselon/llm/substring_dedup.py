@@ -132,15 +132,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_removed, kept_sha256, spans) of every row; spans: start, end, start, end ... of removed words."""
     docs = stored(parsed(df, key, text), "rlz-docs")
+    blocks = docs.where("key IS NOT NULL").select("key", "dig", F.explode("blocks").alias("b")).select("b.*", "key", "dig")
     twins = stored(docs.groupBy("sha").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("sha", "first"), "rlz-twins")
-    docs = docs.join(twins, "sha", "left").withColumn("copy", F.coalesce(F.col("key") > F.col("first"), F.lit(False)))
-    blocks = docs.where("NOT copy AND key IS NOT NULL").select("key", "dig", F.explode("blocks").alias("b")).select("b.*", "key", "dig")
+    docs = docs.select("key", "dig", "n_words", "sha").join(twins, "sha", "left").withColumn("copy", F.coalesce(F.col("key") > F.col("first"), F.lit(False)))
+    copies = stored(docs.where("copy").select("key", "dig").distinct(), "rlz-copies")
     shared = stored(blocks.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z").select("h"), "rlz-anchors")
     held = stored(blocks.join(shared, "h"), "rlz-blocks")
     several = held.groupBy("h").agg(F.min("ctx").alias("a"), F.max("ctx").alias("z")).where("a < z").select("h", F.lit(True).alias("several"))
     index = stored(held.groupBy("h", "ctx").agg(F.min("key").alias("first")).join(several, "h", "left"), "rlz-index")
     factors = held.join(index, ["h", "ctx"]).where("key > first OR several").select("key", "dig", F.struct("lo", "hi", (F.col("key") == F.col("first")).alias("open")).alias("span"))
-    factors = factors.groupBy("key", "dig").agg(F.collect_list("span").alias("spans"))  # as many as a document has blocks at most
+    factors = factors.join(copies, ["key", "dig"], "left_anti").groupBy("key", "dig").agg(F.collect_list("span").alias("spans"))  # as many as a document has blocks at most
     body = F.coalesce(col(text).cast("string"), F.lit(""))
     texts = df.select(col(key).cast("long").alias("key"), F.xxhash64(body).alias("dig"), body.alias("text"))
     touched = stored(texts.join(factors, ["key", "dig"]), "rlz-touched")
@@ -150,7 +151,7 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     cut = touched.join(starts, ["key", "dig"], "left").select("key", "text", "spans", "starts").mapInArrow(_cut, "key long, n_words long, n_removed long, sha binary, spans array<int>")
     whole = F.col("copy") & (F.col("n_words") >= WINDOW)
     nothing = F.unhex(F.sha2(F.lit("").cast("binary"), 256))
-    rest = docs.drop("blocks").join(touched.select("key", "dig").distinct(), ["key", "dig"], "left_anti").select(
+    rest = docs.join(touched.select("key", "dig").distinct(), ["key", "dig"], "left_anti").select(
         "key",
         "n_words",
         F.when(whole, F.col("n_words")).otherwise(0).alias("n_removed"),
