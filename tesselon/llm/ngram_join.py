@@ -1,13 +1,15 @@
 """N-gram Jaccard join: exact links between sets of word shingles, as components.
 
-Equal sets form one class, and only classes are compared. Index lists hold, by shingle, the sets in whose prefix it
-is (a set's first shingles in an order that puts frequent ones last; linked sets share one of these). Lists are
-never crossed with themselves. In each list the smallest set leads, and every other set is compared with the leader.
-A set's links to the other sets of the list then derive from the leader's answer: sets linked to the leader are of
-one component and need no comparison with each other; a set that is not can only link another one through shingles
-in which both differ from the leader, so only these differences (of sets close to the leader), or the prefix of
-what the leader lacks (of others), form the lists of the next round. Lists whose sets are all of one component are
-skipped whole. Rounds end when no list is left; lists lose their leader each round, so they do end.
+Equal sets form one class, and only classes are compared. A set's shingles have an order, rarest words first and
+shingles known to be frequent last, and its index entries are the first ones of it: so many that linked sets share
+at least SLACK of the set's size. Index lists hold, by shingle and size band, the sets with that entry; a set with
+fewer shared entries than that is skipped. Lists are never crossed with themselves. In each list the smallest set
+leads, and every other set is compared with the leader. A set's links to the other sets of the list then derive
+from the leader's answer: sets linked to the leader are of one component and need no comparison with each other; a
+set that is not can only link another one through shingles in which both differ from the leader, so only these
+differences (of sets close to the leader), or the first of what the leader lacks (of others), form the lists of the
+next round. Lists whose sets are all of one component are skipped whole. Rounds end when no list is left; lists
+lose their leader each round, so they do end.
 
 Why no link is lost: let X and Y link, both in a list led by L, |L| <= |X|, |Y|, and X not linked to L. If both
 share at least their own threshold share with L, then with D the symmetric differences to L, disjoint DX and DY
@@ -22,6 +24,7 @@ one id count as one document: the links of each are the id's. An empty table giv
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +39,12 @@ from tesselon.llm.hashing import Ranges, WordHashes, mixed
 SIZE = 4
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 85
-#: Rows, in expectation, that tell which shingles are frequent, and how often such a one is seen. This affects speed alone.
-SAMPLE_DOCS, FREQUENT = 3000, 6
+#: Entries that linked sets share at least, as a part of a set's size; more lets more sets be skipped but makes more entries.
+SLACK = 0.03
+#: Rows, in expectation, that tell which words and shingles are frequent, and how often such ones are seen. This affects speed alone.
+SAMPLE_DOCS, FREQUENT_WORD, FREQUENT = 3000, 4, 3
+#: Ids that are sent to all executors at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Rounds after which what is left is compared pair by pair.
 MAX_ROUNDS = 12
 
@@ -45,122 +52,182 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SETS = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
 
-def shingles(part: pa.RecordBatch, hashes: WordHashes, size: int, text: str = "text") -> list[np.ndarray]:
-    """The sets of a slice's texts, as sorted 64-bit hashes."""
-    docs = [(t or "").encode().translate(_LOWER).split() for t in part.column(text).to_pylist()]
-    sizes = np.array([len(w) for w in docs], np.int64)
-    ends = np.cumsum(sizes)
-    ranges = Ranges(hashes.of([w for words in docs for w in words]))
-    grams = ranges.grams(size)
-    out = []
-    for n, end in zip(sizes.tolist(), ends.tolist(), strict=True):
-        if n >= size:
-            out.append(np.unique(grams[end - n : end - size + 1]))
-        elif n:
-            out.append(mixed(ranges(np.array([end - n]), np.array([end])) + np.uint64(n)))
-        else:
-            out.append(np.empty(0, np.uint64))
-    return out
-
-
 def needed(n: int, percent: int) -> int:
     """Least common shingles of a set of ``n`` with any set it links."""
     return (percent * n + 99) // 100
 
 
-def ordered(items: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """By hash, with those of ``frequent`` (sorted) last."""
-    if not len(frequent) or not len(items):
-        return items
-    at = np.minimum(np.searchsorted(frequent, items), len(frequent) - 1)
-    often = frequent[at] == items
-    return np.concatenate([items[~often], items[often]])
+def slack(n: int) -> int:
+    return max(1, int(SLACK * n))
+
+
+class Table:
+    """Values of some 64-bit keys, 0 for others."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order].astype(np.float64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], 0.0)
+
+
+class Shingler:
+    """Shingle sets of texts: sorted hashes, and the place of each in the order of entries."""
+
+    def __init__(self, size: int, words: Table | None = None, often: Table | None = None):
+        self.size, self.words, self.often = size, words, often
+        self.hashes = WordHashes()
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        docs = [(t or "").encode().translate(_LOWER).split() for t in texts]
+        h = self.hashes.of([w for words in docs for w in words])
+        ranges = Ranges(h)
+        grams = ranges.grams(self.size)
+        if self.words is not None and len(grams):
+            weight = self.words(h)
+            score = sum(weight[k : k + len(grams)] for k in range(self.size))
+            seen = self.often(grams)
+            score = np.where(seen > 0, 800 + np.minimum(seen, 200), np.minimum(score, 800))
+            place = (score * 64).astype(np.uint64) << np.uint64(48) | grams >> np.uint64(16)
+        else:
+            place = grams
+        out, end = [], 0
+        for n in map(len, docs):
+            end += n
+            if n >= self.size:
+                items, first = np.unique(grams[end - n : end - self.size + 1], return_index=True)
+                out.append((items, place[end - n + first]))
+            elif n:
+                item = mixed(ranges(np.array([end - n]), np.array([end])) + np.uint64(n))
+                out.append((item, item))
+            else:
+                out.append((grams[:0], grams[:0]))
+        return out
+
+
+def head(items: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """The first ``n`` items of the order."""
+    return items if n >= len(items) else items[np.argpartition(place, n)[:n]]
 
 
 def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(col(key).cast("long").alias("key"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def frequent_shingles(texts: DataFrame, size: int) -> np.ndarray:
-    """Shingles seen FREQUENT times or more in about SAMPLE_DOCS different texts."""
+def frequent(texts: DataFrame, size: int) -> tuple[Table, Table]:
+    """Words and shingles that are frequent in about SAMPLE_DOCS different texts; words with the logarithm of their count."""
     rows = texts.select("key").count()
     share = min(1.0, SAMPLE_DOCS / max(1, rows))
-    schema = pa.schema([("s", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("s", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        make = Shingler(size)
         for part in text_slices(batches):
-            for s in shingles(part, hashes, size):
-                yield record(schema, s.view(np.int64))
+            texts = part.column("text").to_pylist()
+            sets = [s for s, _ in make(texts)]
+            words = [make.hashes.of(list(set((t or "").encode().translate(_LOWER).split()))) for t in texts]
+            kinds = [0] * sum(map(len, sets)) + [1] * sum(map(len, words))
+            yield record(schema, kinds, np.concatenate([*sets, *words]).view(np.int64))
 
     sample = texts.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["text"])
-    found = sample.mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= FREQUENT).select("s").toPandas()
-    return np.sort(found["s"].to_numpy(np.int64).view(np.uint64))
+    found = sample.mapInArrow(run, "kind int, s long").groupBy("kind", "s").count()
+    found = found.where(F.col("count") >= F.when(F.col("kind") == 0, FREQUENT).otherwise(FREQUENT_WORD)).toPandas()
+    tables = []
+    for kind in (1, 0):
+        rows = found[found["kind"] == kind]
+        counts = rows["count"].to_numpy(float)
+        tables.append(Table(rows["s"].to_numpy(np.int64).view(np.uint64), np.log2(counts) if kind else counts))
+    return tables[0], tables[1]
 
 
-def sets_of(texts: DataFrame, size: int, percent: int, frequent) -> DataFrame:
+def sets_of(texts: DataFrame, size: int, percent: int, tables) -> DataFrame:
     """(key, n, sig, prefix) of every row; equal sets have equal sigs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, often = WordHashes(), frequent.value
+        make = Shingler(size, *tables.value)
         for part in text_slices(batches):
-            sets = shingles(part, hashes, size)
-            heads = [ordered(s, often)[: len(s) - needed(len(s), percent) + 1] if len(s) else s for s in sets]
+            sets = make(part.column("text").to_pylist())
+            heads = [head(s, place, len(s) - needed(len(s), percent) + slack(len(s))) if len(s) else s for s, place in sets]
             offsets = np.append(0, np.cumsum([len(h) for h in heads])).astype(np.int32)
             flat = np.concatenate(heads).view(np.int64)
-            yield record(_SETS, part.column("key"), [len(s) for s in sets], [hashlib.md5(s.tobytes()).digest() for s in sets], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+            yield record(_SETS, part.column("key"), [len(s) for s, _ in sets], [hashlib.md5(s.tobytes()).digest() for s, _ in sets], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
 
     return texts.mapInArrow(run, "key long, n long, sig binary, prefix array<long>")
 
 
-_COMPARED = "lead long, key long, n long, linked boolean, outside array<long>, missing array<long>"
+_COMPARED = "lead long, key long, n long, linked boolean, need long, outside array<long>, missing array<long>"
 
 
-def _comparing(size: int, percent: int, frequent):
+def _comparing(size: int, percent: int, tables):
     """Compares sets with their leaders: linked or not, and the shingles that lead to further links."""
     items = pa.list_(pa.int64())
-    schema = pa.schema([("lead", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("outside", items), ("missing", items)])
+    schema = pa.schema([("lead", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("need", pa.int64()), ("outside", items), ("missing", items)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, often = WordHashes(), frequent.value
-        for whole in batches:
-            for part in text_slices([whole]):
-                mine = shingles(part, hashes, size)
-                leads = part.column("lead_text")
-                cached: dict[str, np.ndarray] = {}
-                out = []
-                for x, lead_text in zip(mine, leads.to_pylist(), strict=True):
-                    if lead_text not in cached:
-                        one = pa.RecordBatch.from_arrays([pa.array([lead_text])], names=["text"])
-                        cached = {lead_text: shingles(one, hashes, size)[0]}
-                    lead = cached[lead_text]
-                    common = np.intersect1d(x, lead, assume_unique=True)
-                    linked = 100 * len(common) >= percent * (len(x) + len(lead) - len(common))
-                    outside = ordered(np.setdiff1d(x, lead, assume_unique=True), often)
-                    short = needed(len(x), percent) - len(common)
-                    if short > 0:  # far from the leader
-                        out.append((len(x), linked, outside[: len(outside) - short + 1].view(np.int64), []))
-                    else:
-                        out.append((len(x), linked, outside.view(np.int64), np.setdiff1d(lead, x, assume_unique=True).view(np.int64)))
-                if out:
-                    yield record(schema, part.column("lead"), part.column("key"), *[list(c) for c in zip(*out, strict=True)])
+        make = Shingler(size, *tables.value)
+        leader: tuple[str, np.ndarray] = ("", np.empty(0, np.uint64))
+        for part in text_slices(batches, limit=1 << 20):
+            out = []
+            for (x, place), text in zip(make(part.column("text").to_pylist()), part.column("lead_text").to_pylist(), strict=True):
+                if text != leader[0]:  # rows come by leader
+                    leader = (text, make([text])[0][0])
+                lead = leader[1]
+                own = np.isin(x, lead, assume_unique=True, invert=True)
+                outside = x[own]
+                common = len(x) - len(outside)
+                linked = 100 * common >= percent * (len(x) + len(lead) - common)
+                short = needed(len(x), percent) - common
+                if short > 0:  # far from the leader
+                    more = min(short, slack(len(x)))
+                    out.append((len(x), linked, more, head(outside, place[own], len(outside) - short + more).view(np.int64), []))
+                else:
+                    out.append((len(x), linked, 1, outside.view(np.int64), np.setdiff1d(lead, x, assume_unique=True).view(np.int64)))
+            if out:
+                yield record(schema, part.column("lead"), part.column("key"), *[list(c) for c in zip(*out, strict=True)])
 
     return run
 
 
+def _led(entries: DataFrame, unlike: str) -> DataFrame:
+    """The entries (list, key, n, part, need ...) of lists in which ``unlike`` differs, with the smallest set as lead.
+
+    Sets with fewer such entries in a part than they need are left out.
+    """
+    leads = entries.groupBy("list").agg(F.min(F.struct("n", "key")).alias("lead"), F.min(unlike).alias("a"), F.max(unlike).alias("z")).where("a < z")
+    led = stored(entries.join(stored(leads.select("list", F.col("lead.key").alias("lead")), "set-leads"), "list").select("list", "key", "n", "part", "need", "lead"), "set-led")
+    enough = stored(led.groupBy("key", "part", "need").count().where("count >= need").select("key", "part"), "set-enough")
+    return led.join(enough, ["key", "part"])
+
+
+def _with_texts(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    keys = stored(keys.distinct(), "set-keys")
+    return stored(texts.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "key"), "set-texts")
+
+
 def components_of(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id) of every row."""
     spark = df.sparkSession
     texts = _texts(df, key, text)
-    frequent = spark.sparkContext.broadcast(frequent_shingles(texts, size))  # bounded by the sample
-    sets = stored(sets_of(texts, size, percent, frequent), "sets")
+    tables = spark.sparkContext.broadcast(frequent(texts, size))  # bounded by the sample
+    sets = stored(sets_of(texts, size, percent, tables), "sets")
     twins = stored(sets.where("n > 0").groupBy("sig").agg(F.min("key").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("sig", "first"), "set-twins")
-    classes = sets.select("key", "n", "sig", "prefix").join(twins, "sig", "left").withColumn("rep", F.coalesce("first", "key"))
-    lists = classes.where("key = rep AND n > 0").select(F.explode("prefix").alias("s"), "key", "n")
-    shared = stored(lists.groupBy("s").agg(F.min(F.struct("n", "key")).alias("lead"), F.max("key").alias("z"), F.min("key").alias("a")).where("a < z").select("s", F.col("lead.key").alias("lead")), "set-leads")
-    held = stored(lists.join(shared, "s").select(F.xxhash64("s").alias("list"), "key", "n", "lead"), "set-lists")
-    nodes = stored(texts.join(held.select("key").distinct(), "key"), "set-texts")
-    links = labels = None
+    classes = sets.select("key", "n", "sig").join(twins, "sig", "left").select("key", "n", F.coalesce("first", "key").alias("rep"))
+    copies = stored(classes.where("key != rep").select("key").distinct(), "set-copies")
+
+    lists = sets.where("n > 0 AND key IS NOT NULL").select(F.explode("prefix").alias("s"), "key", "n")
+    shared = stored(lists.groupBy("s").count().where("count > 1").select("s"), "set-shared")
+    held = stored(lists.join(shared, "s"), "set-held")
+    need = F.greatest(F.lit(1), F.floor(F.col("n") * SLACK))
+    able = stored(held.groupBy("key", "n").count().where(F.col("count") >= need).select("key").join(copies, "key", "left_anti"), "set-able")
+    band = F.floor(F.log("n") / (1.001 * math.log(100 / percent)))
+    entries = held.join(able, "key").select("s", "key", "n", need.alias("need"), F.explode(F.array(band, band + 1)).alias("part"))
+    held = _led(stored(entries.select(F.xxhash64("s", "part").alias("list"), "key", "n", "part", "need"), "set-entries"), "key")
+
+    links = labels = nodes = None
     for turn in range(MAX_ROUNDS + 1):
         if turn < MAX_ROUNDS:
             pairs = held.where("key != lead").select("lead", "key").distinct()
@@ -168,30 +235,34 @@ def components_of(df: DataFrame, key: str = "doc_id", text: str = "text", size:
             other = held.select("list", F.col("key").alias("lead"))
             pairs = held.select("list", "key").join(other, "list").where("lead < key").select("lead", "key").distinct()
         pairs = stored(pairs, "set-pairs")
+        if nodes is None:
+            nodes = _with_texts(texts, pairs.select("key").union(pairs.select("lead")))
         compared = pairs.join(nodes, "key").join(nodes.select(F.col("key").alias("lead"), F.col("text").alias("lead_text")), "lead")
-        compared = stored(compared.select("lead", "key", "text", "lead_text").sortWithinPartitions("lead").mapInArrow(_comparing(size, percent, frequent), _COMPARED), "set-compared")
+        compared = stored(compared.select("lead", "key", "text", "lead_text").sortWithinPartitions("lead").mapInArrow(_comparing(size, percent, tables), _COMPARED), "set-compared")
         new = compared.where("linked").select(F.col("lead").alias("a"), F.col("key").alias("b"))
         links = new if links is None else links.union(new)
         labels = components(links)
         if turn == MAX_ROUNDS:
             break
-        # of a leader with a set of another component, all sets go on
         comp = labels.select("node", "comp")
         found = compared.join(comp.select(F.col("node").alias("key"), F.col("comp").alias("mine")), "key", "left").join(comp.select(F.col("node").alias("lead"), F.col("comp").alias("its")), "lead", "left")
-        found = found.withColumn("mine", F.coalesce("mine", "key")).withColumn("its", F.coalesce("its", "lead"))
-        open_leads = stored(found.where("mine != its").select("lead").distinct(), "set-open")
-        if open_leads.isEmpty():
+        found = stored(found.withColumn("mine", F.coalesce("mine", "key")).withColumn("its", F.coalesce("its", "lead")), "set-found")
+        leads = stored(found.groupBy("lead").agg(F.min("mine").alias("a"), F.max("mine").alias("z")).where("a < z").select("lead"), "set-open")
+        if leads.isEmpty():
             break
-        going = found.join(open_leads, "lead").select("lead", "key", "n", "mine", F.explode(F.concat(F.transform("outside", lambda x: F.struct(x.alias("s"), F.lit(True).alias("out"))), F.transform("missing", lambda x: F.struct(x.alias("s"), F.lit(False).alias("out"))))).alias("e"))
-        going = stored(going.select(F.xxhash64("lead", "e.s", "e.out").alias("list"), "key", "n", "mine"), "set-going")
-        shared = stored(going.groupBy("list").agg(F.min(F.struct("n", "key")).alias("lead"), F.min("mine").alias("a"), F.max("mine").alias("z")).where("a < z").select("list", F.col("lead.key").alias("lead")), "set-leads")
-        if shared.isEmpty():
+        going = found.join(leads, "lead").select("lead", "key", "n", "mine", "need", F.explode(F.concat(_tagged("outside", True), _tagged("missing", False))).alias("e"))
+        going = stored(going.select(F.xxhash64("lead", "e.s", "e.out").alias("list"), "key", "n", "mine", F.col("lead").alias("part"), "need"), "set-entries")
+        held = stored(_led(going, "mine"), "set-lists")
+        if held.isEmpty():
             break
-        held = stored(going.join(shared, "list").select("list", "key", "n", "lead"), "set-lists")
-    out = classes.select("key", "n", "rep").join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left")
+    out = classes.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "rep")).otherwise(F.col("key")).alias("component_id"))
 
 
+def _tagged(items: str, out: bool):
+    return F.transform(items, lambda x: F.struct(x.alias("s"), F.lit(out).alias("out")))
+
+
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, the one of smallest id, with the columns of ``df``; rows with a null id all stay."""
     found = components_of(df, key, text)
