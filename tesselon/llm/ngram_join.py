@@ -8,8 +8,12 @@ leads, and every other set is compared with the leader. A set's links to the oth
 from the leader's answer: sets linked to the leader are of one component and need no comparison with each other; a
 set that is not can only link another one through shingles in which both differ from the leader, so only these
 differences (of sets close to the leader), or the first of what the leader lacks (of others), form the lists of the
-next round. Lists whose sets are all of one component are skipped whole. Rounds end when no list is left; lists
-lose their leader each round, so they do end.
+next round. Lists whose sets are all of one component are skipped whole.
+
+The sets that such lists hold together form clusters. A cluster of bounded size is settled at once in one task: an
+inverted index over its sets gives each set's common shingles with all others, starting from the components known
+so far, and the sets of the largest component need no look-up of their own. Larger clusters go through further
+rounds until they are small enough. Lists lose their leader each round, so rounds do end.
 
 Why no link is lost: let X and Y link, both in a list led by L, |L| <= |X|, |Y|, and X not linked to L. If both
 share at least their own threshold share with L, then with D the symmetric differences to L, disjoint DX and DY
@@ -45,6 +49,8 @@ SLACK = 0.03
 SAMPLE_DOCS, FREQUENT_WORD, FREQUENT = 3000, 4, 3
 #: Ids that are sent to all executors at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Shingles of all sets of a cluster that one task takes on; larger clusters go through more rounds first.
+CLUSTER_SHINGLES = 1_000_000
 #: Rounds after which what is left is compared pair by pair.
 MAX_ROUNDS = 12
 
@@ -192,6 +198,41 @@ def _comparing(size: int, percent: int, tables):
     return run
 
 
+def cross_links(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between sets of different labels, enough to join all labels that links join."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, item = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(item, kind="stable")]
+    ends = np.cumsum(np.bincount(item))
+    starts = ends - np.bincount(item)
+    at = np.cumsum(sizes) - sizes
+    labels = np.unique(labels, return_inverse=True)[1]
+    out = []
+    for k in np.flatnonzero(labels != np.bincount(labels).argmax()).tolist():
+        mine = item[at[k] : at[k] + sizes[k]]
+        n = ends[mine] - starts[mine]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[mine], n)
+        common = np.bincount(owner[place], minlength=len(sets))
+        linked = 100 * common >= percent * (sizes + sizes[k] - common)
+        for j in np.flatnonzero(linked & (labels != labels[k])).tolist():
+            if labels[j] != labels[k]:
+                out.append((k, j))
+                labels[labels == labels[j]] = labels[k]
+    return out
+
+
+def _settling(size: int, percent: int):
+    """All links of a cluster that its components lack."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = table.column("key").to_pylist()
+        sets = [s for s, _ in Shingler(size)(table.column("text").to_pylist())]
+        found = cross_links(sets, table.column("comp").to_numpy(), percent)
+        return pa.table({"a": pa.array([keys[a] for a, _ in found], pa.int64()), "b": pa.array([keys[b] for _, b in found], pa.int64())})
+
+    return run
+
+
 def _led(entries: DataFrame, unlike: str) -> DataFrame:
     """The entries (list, key, n, part, need ...) of lists in which ``unlike`` differs, with the smallest set as lead.
 
@@ -255,6 +296,17 @@ def components_of(df: DataFrame, key: str = "doc_id", text: str = "text", size:
         held = stored(_led(going, "mine"), "set-lists")
         if held.isEmpty():
             break
+        clusters = components(held.where("key != lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))).select(F.col("node").alias("key"), F.col("comp").alias("cluster"))
+        clusters = clusters.join(sets.select("key", "n").distinct(), "key")
+        small = stored(clusters.groupBy("cluster").agg(F.sum("n").alias("n")).where(F.col("n") <= CLUSTER_SHINGLES).select("cluster"), "set-clusters")
+        members = stored(clusters.join(small, "cluster").select("key", "cluster").distinct(), "set-members")
+        within = members.join(comp.select(F.col("node").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key")).join(nodes, "key")
+        found = within.groupBy("cluster").applyInArrow(_settling(size, percent), "a long, b long")
+        links = links.union(stored(found, "set-links"))
+        labels = components(links)
+        held = stored(held.join(members.select("key").distinct(), "key", "left_anti"), "set-lists")
+        if held.where("key != lead").isEmpty():
+            break
     out = classes.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "rep")).otherwise(F.col("key")).alias("component_id"))
 
