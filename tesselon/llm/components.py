@@ -9,20 +9,24 @@ from tesselon.llm.common import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of every node of ``edges`` (a, b); comp is the smallest node reachable.
+    """(node, comp) of every node of ``edges`` (a, b) that has a neighbour; comp is the smallest node reachable.
 
-    Each round gives a node the smallest label among its own and its neighbours', then that label's own label;
-    labels only fall, and the rounds end when none changes. Nothing is gathered per node but a minimum.
+    Each round gives a node the smallest of itself and its neighbours as parent, follows that parent's parent, and
+    contracts the edges to parents; edges within a parent vanish. A star takes one round. Nothing is gathered per
+    node but a minimum, and the smallest node of a component stays its own parent throughout.
     """
-    both = stored(edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select(F.col("b"), F.col("a"))).distinct(), "cc-edges")
-    labels = stored(both.groupBy("node").agg(F.min("near").alias("m")).select("node", F.least("node", "m").alias("comp")), "cc-labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("near"), F.col("comp").alias("c")), "near").groupBy("node").agg(F.min("c").alias("m"))
-        new = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        new = new.join(up, "comp", "left").select("node", "old", F.least("comp", F.coalesce("top", "comp")).alias("comp"))
-        new = stored(new, "cc-labels")
-        changed = new.where("comp < old").limit(1).count()
-        labels = new.select("node", "comp")
-        if not changed:
-            return labels
+    left = stored(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    labels = None
+    while labels is None or not left.isEmpty():
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("near")).union(left.select("b", "a"))
+        parents = stored(both.groupBy("node").agg(F.min("near").alias("m")).select("node", F.least("node", "m").alias("comp")), "cc-parents")
+        above = parents.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+        parents = stored(parents.join(above, "comp").select("node", F.col("top").alias("comp")), "cc-parents")
+        if labels is None:
+            labels = parents
+        else:
+            labels = stored(labels.join(parents.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), "cc-labels")
+        for end in ("a", "b"):
+            left = left.join(parents.select(F.col("node").alias(end), F.col("comp").alias("top")), end).drop(end).withColumnRenamed("top", end)
+        left = stored(left.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    return labels
