@@ -22,7 +22,7 @@ from tesselon.llm.bpe_core import MergeTable, byte_chars, merge_table
 from tesselon.llm.common import col, record, text_slices, texts_of
 
 #: Pre-tokens whose ids one worker keeps; beyond that it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Fixed value: the pattern of byte-level pre-tokens.
 BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 

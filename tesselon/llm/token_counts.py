@@ -24,7 +24,7 @@ from tesselon.llm.bpe_core import MergeTable, merge_table
 from tesselon.llm.common import col, record, text_slices, texts_of
 
 #: Pieces whose counts one worker keeps; beyond that it starts anew.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 #: Fixed value: the pattern of the word vocabulary's pre-tokens.
 WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 #: Letters only, in a range where lower-casing and normal form are one to one: such a piece is one pre-token.
