@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that Python code holds unpacked at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Rows that Spark hands to Python at a time; texts are long.
 BATCH_ROWS = 1000
 
@@ -51,6 +52,14 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released() -> None:
+    """Gives freed memory back to the system: a worker process lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into zero-copy slices of about ``limit`` bytes of text; one longer text stands alone."""
     for batch in batches:
@@ -64,6 +73,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: in
             to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    released()
 
 
 def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes one worker keeps; beyond that it starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
