@@ -155,28 +155,26 @@ _SAFE = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]+")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9ß-öø-ÿ]+")
 
 
-class _Words(dict):
-    """Ids of a pre-token, by the library's merge model, asked for once."""
+class _Pieces(dict):
+    """Ids of a piece of text without spaces: from its pre-tokens where these are plain, else by the library as a whole.
+
+    A plain pre-token is a piece that has itself as its only pre-token; its ids come from the library's merge model.
+    """
 
     def __init__(self, tokenizer, kind: str):
-        self.merge, self.kind = tokenizer.model.tokenize, kind
+        self.tokenizer, self.merge, self.kind = tokenizer, tokenizer.model.tokenize, kind
         self.shown = dict(enumerate(byte_chars()))
 
-    def __missing__(self, word: str) -> bytes:
+    def merged(self, word: str) -> bytes:
         shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.shown)
-        self[word] = out = array(self.kind, [t.id for t in self.merge(shown)]).tobytes()
-        return out
-
-
-class _Pieces(dict):
-    """Ids of a piece of text without spaces: from its pre-tokens where these are plain, else by the library as a whole."""
-
-    def __init__(self, tokenizer, kind: str):
-        self.tokenizer, self.kind, self.words = tokenizer, kind, _Words(tokenizer, kind)
+        return array(self.kind, [t.id for t in self.merge(shown)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if _SAFE.fullmatch(piece) and "<|" not in piece:
-            out = b"".join(map(self.words.__getitem__, _WORDS.findall(piece.lower())))
+        if piece.isascii() and piece.isalpha():
+            out = self.merged(piece) if piece.islower() else self[piece.lower()]
+        elif _SAFE.fullmatch(piece) and "<|" not in piece:
+            parts = _WORDS.findall(piece.lower())
+            out = self.merged(piece) if parts == [piece] else b"".join(map(self.__getitem__, parts))
         else:
             out = array(self.kind, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         self[piece] = out
@@ -196,19 +194,24 @@ class Tokenizing:
         self.known = _Pieces(self.tokenizer, self.kind)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        for cache in (self.known, self.known.words):
-            if len(cache) > self.limit:
-                cache.clear()
+        if len(self.known) > self.limit:
+            self.known.clear()
         get = self.known.__getitem__
         return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
 
+@lru_cache(maxsize=1)
+def _tokenizing(path: str) -> Tokenizing:
+    """One per worker process: its pieces serve all tasks that the process gets."""
+    return Tokenizing(path)
+
+
 def tokenized(df: DataFrame, vocabulary: str, end_id: int, key: str, text: str) -> DataFrame:
     """(key, n, ids): ids with the end id as little-endian 16-bit integers, or 32-bit ones for a large vocabulary."""
     schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokenizing(vocabulary)
+        tokens = _tokenizing(vocabulary)
         end = array(tokens.kind, [end_id])
         for part in text_slices(batches):
             found = [x + end.tobytes() for x in tokens(texts_of(part))]
