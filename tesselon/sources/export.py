@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +24,8 @@ def encoded(name: str, kind: T.DataType) -> Column:
     elif isinstance(kind, T.DateType):
         c = F.date_format(c, "yyyy-MM-dd")
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        utc = F.to_utc_timestamp(c, F.current_timezone()) if isinstance(kind, T.TimestampType) else c
+        c = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
         c = F.when(F.isnan(c), "NaN").when(c == float("inf"), "Infinity").when(c == float("-inf"), "-Infinity").otherwise(c.cast("string"))
     return c.alias(name)
@@ -39,3 +43,23 @@ def export(df: DataFrame, path: str, *, kind: str = "jsonl", columns: Sequence[s
         out.option("header", header).option("escape", '"').csv(path)
     else:
         raise ValueError(f"unknown export kind {kind!r}")
+
+
+def shown(df: DataFrame, kind: str = "table", max_rows: int = 1000) -> str:
+    """The first rows as text for a terminal: a table with the number of rows, CSV with a header, or a JSON array."""
+    names = df.columns
+    rows = df.limit(max_rows).collect()
+    if kind == "json":
+        return json.dumps([dict(zip(names, r, strict=True)) for r in rows], default=str, ensure_ascii=False)
+    cells = [["" if v is None else str(v).lower() if isinstance(v, bool) else str(v) for v in r] for r in rows]
+    if kind == "csv":
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows([names, *cells])
+        return out.getvalue()
+    if kind != "table":
+        raise ValueError(f"unknown output kind {kind!r}")
+    if not rows:
+        return "0 rows returned"
+    widths = [max(map(len, column)) for column in zip(names, *cells, strict=True)]
+    lines = [" | ".join(c.ljust(w) for c, w in zip(line, widths, strict=True)).rstrip() for line in [names, *cells]]
+    return "\n".join([lines[0], "-+-".join("-" * w for w in widths), *lines[1:], f"({len(rows)} rows)"])

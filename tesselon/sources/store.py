@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesselon.sources.scratch import stored
+
 
 class ConstraintError(ValueError):
     """A row breaks a table's constraint."""
@@ -137,7 +139,7 @@ class Store:
     # ---------------------------------------------------------- definitions
 
     def create_table(self, name: str, schema: T.StructType | str, *, primary_key: Sequence[str] = (), unique: Sequence[Sequence[str]] = (), not_null: Sequence[str] = (), checks: Sequence[str] = (), foreign_keys: Sequence[Mapping[str, Any]] = (), defaults: Mapping[str, str] | None = None, autoincrement: str | None = None, if_not_exists: bool = False) -> None:
-        """``foreign_keys``: columns, table, references, on_delete (restrict, cascade, set_null, set_default)."""
+        """``foreign_keys``: columns, table, references, on_delete and on_update (restrict, cascade, set_null, set_default)."""
         schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
         def edit(state: dict[str, Any]) -> None:
@@ -179,6 +181,34 @@ class Store:
 
         self._change(edit)
 
+    def rename_table(self, table: str, name: str) -> None:
+        """Foreign keys of other tables follow; no file is touched."""
+
+        def edit(state: dict[str, Any]) -> None:
+            if name in state["tables"]:
+                raise ValueError(f"table {name!r} exists")
+            self.info(table)
+            state["tables"][name] = state["tables"].pop(table)
+            for info in state["tables"].values():
+                for fk in info["foreign_keys"]:
+                    fk["table"] = name if fk["table"] == table else fk["table"]
+
+        self._change(edit)
+
+    def alter_type(self, table: str, column: str, kind: str) -> None:
+        """Rewrites the column in another type; a value that the type can't hold is refused."""
+
+        def edit(state: dict[str, Any]) -> None:
+            old, to = self.table(table), T.DataType.fromDDL(kind)
+            lost = old.where(F.col(column).isNotNull() & F.col(column).try_cast(to).isNull())
+            if not lost.isEmpty():
+                raise ConstraintError(f"{table}.{column} has values that are no {kind}")
+            info = state["tables"][table]
+            info["schema"] = T.StructType([T.StructField(f.name, to if f.name == column else f.dataType) for f in old.schema]).json()
+            self._replace(table, old.withColumn(column, F.col(column).cast(to)), "alter", old.limit(0))
+
+        self._change(edit)
+
     def add_constraint(self, table: str, kind: str, value: Any) -> None:
         """kind: unique (columns), checks (expression) or foreign_keys (mapping); present rows must meet it."""
 
@@ -220,7 +250,8 @@ class Store:
         rows.write.parquet(path)
         return {"path": path, "columns": rows.columns}
 
-    def _validate(self, table: str, rows: DataFrame) -> None:
+    def _validate(self, table: str, rows: DataFrame, beside: DataFrame | None = None) -> None:
+        """Checks the rows; ``beside`` are rows of the table that are known to be valid."""
         info = self.info(table)
         for c in info["not_null"]:
             if not rows.where(F.col(c).isNull()).isEmpty():
@@ -229,11 +260,14 @@ class Store:
             known = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in key))
             if not known.groupBy(*key).count().where("count > 1").isEmpty():
                 raise ConstraintError(f"{table}: duplicate {', '.join(key)}")
+            if beside is not None and not known.join(beside.select(*key), key, "left_semi").isEmpty():
+                raise ConstraintError(f"{table}: duplicate {', '.join(key)}")
         for check in info["checks"]:
             if not rows.where(F.expr(f"NOT ({check})")).isEmpty():
                 raise ConstraintError(f"{table}: CHECK ({check})")
         for fk in info["foreign_keys"]:
-            parent = (rows if fk["table"] == table else self.table(fk["table"])).select(*[F.col(r).alias(f"__{r}") for r in fk["references"]])
+            own = rows if beside is None else rows.unionByName(beside)
+            parent = (own if fk["table"] == table else self.table(fk["table"])).select(*[F.col(r).alias(f"__{r}") for r in fk["references"]])
             on = [F.col(c) == F.col(f"__{r}") for c, r in zip(fk["columns"], fk["references"], strict=True)]
             known = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in fk["columns"]))
             if not known.join(parent, on, "left_anti").isEmpty():
@@ -250,9 +284,18 @@ class Store:
         auto = info["autoincrement"]
         if auto:
             top = self.table(table).agg(F.coalesce(F.max(auto), F.lit(0))).first()[0]
+            given = rows.agg(F.max(auto)).first()[0]
+            top = top if given is None else max(top, given)
             missing = rows.where(F.col(auto).isNull())
             if not missing.isEmpty():
-                numbered = missing.withColumn(auto, (F.lit(top) + F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))).cast(schema[auto].dataType))
+                low = F.lit((1 << 33) - 1)  # this id counts rows within a partition in its lower 33 bits
+                placed = stored(missing.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33)))
+                before = []
+                for r in placed.groupBy("__part").count().orderBy("__part").collect():  # a row for each partition
+                    before.append((r["__part"], top))
+                    top += r["count"]
+                numbered = placed.join(F.broadcast(self.spark.createDataFrame(before, "__part long, __before long")), "__part")
+                numbered = numbered.withColumn(auto, (F.col("__before") + 1 + F.col("__id").bitwiseAND(low)).cast(schema[auto].dataType))
                 rows = rows.where(F.col(auto).isNotNull()).unionByName(numbered.select(*rows.columns))
         return rows
 
@@ -282,12 +325,8 @@ class Store:
             if conflict is None:
                 saved = self._save(table, new)
                 written = self.spark.read.schema(new.schema).parquet(saved["path"])
-                files, info["files"] = info["files"], [*info["files"], saved]
-                try:
-                    self._validate(table, self.table(table))
-                except ConstraintError:
-                    info["files"] = files
-                    raise
+                self._validate(table, written, beside=self.table(table))
+                info["files"].append(saved)
                 affected = written.count()
                 self._tell(table, "insert", written)
                 return
@@ -328,11 +367,39 @@ class Store:
             value = {c: F.expr(v) if isinstance(v, str) else v for c, v in assign.items()}
             affected = old.where(hit).count()
             out = old.select(*[F.when(hit, value[c]).otherwise(F.col(c)).cast(old.schema[c].dataType).alias(c) if c in value else F.col(c) for c in old.columns])
+            both = old.where(hit).select(*[F.col(c).alias(f"__old_{c}") for c in old.columns], *[(value[c] if c in value else F.col(c)).cast(old.schema[c].dataType).alias(f"__new_{c}") for c in old.columns])
             self._replace(table, out, "update", old.where(hit))
+            self._follow(table, both, set(value))
 
         self._change(edit)
         return affected
 
+    def _follow(self, parent: str, both: DataFrame, changed: set[str]) -> None:
+        """Children of changed keys follow their foreign keys' actions on update; ``both`` holds old and new rows side by side."""
+        for child, info in list(self.state()["tables"].items()):
+            for fk in info["foreign_keys"]:
+                refs = fk["references"]
+                if fk["table"] != parent or not changed & set(refs):
+                    continue
+                moved = both.where(F.expr(" OR ".join(f"NOT (`__old_{r}` <=> `__new_{r}`)" for r in refs)))
+                keys = moved.select(*[F.col(f"__{side}_{r}") for side in ("old", "new") for r in refs]).distinct()
+                rows = self.table(child)
+                on = [F.col(c) == F.col(f"__old_{r}") for c, r in zip(fk["columns"], refs, strict=True)]
+                hit = rows.join(keys, on)
+                if hit.isEmpty():
+                    continue
+                action = fk.get("on_update", "restrict")
+                if action == "restrict":
+                    still = self.table(parent).select(*[F.col(r).alias(f"__old_{r}") for r in refs])
+                    if not hit.join(still, [f"__old_{r}" for r in refs], "left_anti").isEmpty():
+                        raise ConstraintError(f"{child} refers to {parent}")
+                    continue
+                value = {c: F.col(f"__new_{r}") if action == "cascade" else F.expr(info["defaults"].get(c, "NULL")) if action == "set_default" else F.lit(None) for c, r in zip(fk["columns"], refs, strict=True)}
+                new = {c: value[c].cast(rows.schema[c].dataType) if c in value else F.col(c) for c in rows.columns}
+                pairs = hit.select(*[F.col(c).alias(f"__old_{c}") for c in rows.columns], *[v.alias(f"__new_{c}") for c, v in new.items()])
+                self._replace(child, rows.join(keys, on, "left_anti").unionByName(hit.select(*[v.alias(c) for c, v in new.items()])), "update", hit.select(*rows.columns))
+                self._follow(child, pairs, set(value))
+
     def delete(self, table: str, where: str | Column = "true") -> int:
         """Children follow their foreign keys' actions: cascade, set_null, set_default, else restrict."""
         affected = 0
@@ -395,7 +462,7 @@ class Store:
         for name, info in self.state()["tables"].items():
             columns = [f"{f.name} {f.dataType.simpleString()}" + (" NOT NULL" if f.name in info["not_null"] else "") + (f" DEFAULT {info['defaults'][f.name]}" if f.name in info["defaults"] else "") for f in T.StructType.fromJson(json.loads(info["schema"]))]
             keys = [f"PRIMARY KEY ({', '.join(info['primary_key'])})"] * bool(info["primary_key"]) + [f"UNIQUE ({', '.join(u)})" for u in info["unique"]] + [f"CHECK ({c})" for c in info["checks"]]
-            keys += [f"FOREIGN KEY ({', '.join(f['columns'])}) REFERENCES {f['table']} ({', '.join(f['references'])}) ON DELETE {f.get('on_delete', 'restrict').replace('_', ' ').upper()}" for f in info["foreign_keys"]]
+            keys += [f"FOREIGN KEY ({', '.join(f['columns'])}) REFERENCES {f['table']} ({', '.join(f['references'])}) " + " ".join(f"ON {w.upper()} {f.get(f'on_{w}', 'restrict').replace('_', ' ').upper()}" for w in ("delete", "update")) for f in info["foreign_keys"]]
             out.append(f"CREATE TABLE {name} ({', '.join(columns + keys)})")
         return out
 

@@ -3,7 +3,7 @@
 import pytest
 
 from tesselon.plans.engine import Engine, bind
-from tesselon.sources.export import export
+from tesselon.sources.export import export, shown
 from tesselon.sources.store import ConstraintError
 
 
@@ -100,3 +100,66 @@ def test_export(spark, tmp_path):
     df = spark.sql("SELECT 1 AS a, CAST(1.5 AS DECIMAL(4,2)) AS d, X'00FF' AS b, DATE '2020-01-02' AS day")
     export(df, str(tmp_path / "o"))
     assert [r[0] for r in spark.read.text(str(tmp_path / "o")).collect()] == ['{"a":1,"d":"1.50","b":"AP8=","day":"2020-01-02"}']
+
+
+@pytest.mark.parametrize("action,left", [("CASCADE", [(10, 7), (11, None)]), ("SET NULL", [(10, None), (11, None)]), ("SET DEFAULT", [(10, 2), (11, None)])])
+def test_update_actions(db, action, left):
+    db.query("CREATE TABLE p (id INTEGER PRIMARY KEY)")
+    db.query(f"CREATE TABLE c (id INTEGER PRIMARY KEY, pid INTEGER DEFAULT 2 REFERENCES p (id) ON DELETE RESTRICT ON UPDATE {action})")
+    db.query("INSERT INTO p VALUES (1), (2)")
+    db.query("INSERT INTO c VALUES (10, 1), (11, NULL)")
+    db.query("UPDATE p SET id = 7 WHERE id = 1")
+    assert sorted((tuple(r) for r in db.query("SELECT id, pid FROM c").collect()), key=str) == left
+
+
+def test_update_restrict(db):
+    db.query("CREATE TABLE p (id INTEGER PRIMARY KEY)")
+    db.query("CREATE TABLE c (id INTEGER PRIMARY KEY, pid INTEGER REFERENCES p (id))")
+    db.query("INSERT INTO p VALUES (1), (2)")
+    db.query("INSERT INTO c VALUES (10, 1)")
+    with pytest.raises(ConstraintError):
+        db.query("UPDATE p SET id = 7 WHERE id = 1")
+    db.query("UPDATE p SET id = 8 WHERE id = 2")
+    assert rows(db.query("SELECT id FROM p")) == [(1,), (8,)]
+
+
+def test_rename_and_type(db):
+    db.query("CREATE TABLE a (id INTEGER PRIMARY KEY, v TEXT)")
+    db.query("CREATE TABLE b (id INTEGER PRIMARY KEY, aid INTEGER REFERENCES a (id))")
+    db.query("INSERT INTO a VALUES (1, '5'), (2, NULL)")
+    db.query("ALTER TABLE a RENAME TO z")
+    db.query("ALTER TABLE z ALTER COLUMN v TYPE BIGINT")
+    assert [tuple(r) for r in db.query("SELECT id, v + 1 AS w FROM z ORDER BY id").collect()] == [(1, 6), (2, None)]
+    db.query("INSERT INTO b VALUES (1, 1)")
+    with pytest.raises(ConstraintError):
+        db.query("INSERT INTO b VALUES (2, 9)")
+    db.query("INSERT INTO z VALUES (3, 8)")
+    with pytest.raises(ConstraintError):
+        db.query("INSERT INTO z VALUES (3, 8)")
+    db.query("CREATE TABLE s (v TEXT)")
+    db.query("INSERT INTO s VALUES ('x')")
+    with pytest.raises(ConstraintError):
+        db.query("ALTER TABLE s ALTER COLUMN v TYPE INTEGER")
+
+
+def test_autoincrement_over_many_partitions(db, spark):
+    db.query("CREATE TABLE n (id INTEGER PRIMARY KEY AUTOINCREMENT, v BIGINT)")
+    db.query("INSERT INTO n VALUES (5, 0)")
+    db.store.insert("n", spark.range(1, 101, numPartitions=7).selectExpr("id AS v"))
+    assert [r["id"] for r in db.query("SELECT id FROM n ORDER BY v").collect()] == list(range(5, 106))
+
+
+def test_self_reference_in_one_insert(db):
+    db.query("CREATE TABLE e (id INTEGER PRIMARY KEY, boss INTEGER REFERENCES e (id))")
+    db.query("INSERT INTO e VALUES (1, NULL), (2, 1)")
+    db.query("INSERT INTO e VALUES (3, 2)")
+    with pytest.raises(ConstraintError):
+        db.query("INSERT INTO e VALUES (4, 9)")
+
+
+def test_shown(spark):
+    df = spark.createDataFrame([(1, "a,b", True), (2, None, False)], "id int, s string, ok boolean")
+    assert shown(df, "csv") == 'id,s,ok\n1,"a,b",true\n2,,false\n'
+    assert shown(df, "json") == '[{"id": 1, "s": "a,b", "ok": true}, {"id": 2, "s": null, "ok": false}]'
+    assert shown(df).splitlines() == ["id | s   | ok", "---+-----+------", "1  | a,b | true", "2  |     | false", "(2 rows)"]
+    assert shown(df.limit(0)) == "0 rows returned"
