@@ -13,7 +13,8 @@ next round. Lists whose sets are all of one component are skipped whole.
 The sets that such lists hold together form clusters. A cluster of bounded size is settled at once in one task: an
 inverted index over its sets gives each set's common shingles with all others, starting from the components known
 so far, and the sets of the largest component need no look-up of their own. Larger clusters go through further
-rounds until they are small enough. Lists lose their leader each round, so rounds do end.
+rounds until they are small enough. Lists lose their leader each round, so rounds do end; pairs are never made
+within a list but with its leader.
 
 Why no link is lost: let X and Y link, both in a list led by L, |L| <= |X|, |Y|, and X not linked to L. If both
 share at least their own threshold share with L, then with D the symmetric differences to L, disjoint DX and DY
@@ -51,8 +52,6 @@ SAMPLE_DOCS, FREQUENT_WORD, FREQUENT = 3000, 4, 3
 BROADCAST_IDS = 1_000_000
 #: Shingles of all sets of a cluster that one task takes on; larger clusters go through more rounds first.
 CLUSTER_SHINGLES = 1_000_000
-#: Rounds after which what is left is compared pair by pair.
-MAX_ROUNDS = 12
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SETS = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("prefix", pa.list_(pa.int64()))])
@@ -269,13 +268,8 @@ def components_of(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     held = _led(stored(entries.select(F.xxhash64("s", "part").alias("list"), "key", "n", "part", "need"), "set-entries"), "key")
 
     links = labels = nodes = None
-    for turn in range(MAX_ROUNDS + 1):
-        if turn < MAX_ROUNDS:
-            pairs = held.where("key != lead").select("lead", "key").distinct()
-        else:
-            other = held.select("list", F.col("key").alias("lead"))
-            pairs = held.select("list", "key").join(other, "list").where("lead < key").select("lead", "key").distinct()
-        pairs = stored(pairs, "set-pairs")
+    while True:
+        pairs = stored(held.where("key != lead").select("lead", "key").distinct(), "set-pairs")
         if nodes is None:
             nodes = _with_texts(texts, pairs.select("key").union(pairs.select("lead")))
         compared = pairs.join(nodes, "key").join(nodes.select(F.col("key").alias("lead"), F.col("text").alias("lead_text")), "lead")
@@ -283,8 +277,6 @@ def components_of(df: DataFrame, key: str = "doc_id", text: str = "text", size:
         new = compared.where("linked").select(F.col("lead").alias("a"), F.col("key").alias("b"))
         links = new if links is None else links.union(new)
         labels = components(links)
-        if turn == MAX_ROUNDS:
-            break
         comp = labels.select("node", "comp")
         found = compared.join(comp.select(F.col("node").alias("key"), F.col("comp").alias("mine")), "key", "left").join(comp.select(F.col("node").alias("lead"), F.col("comp").alias("its")), "lead", "left")
         found = stored(found.withColumn("mine", F.coalesce("mine", "key")).withColumn("its", F.coalesce("its", "lead")), "set-found")
