@@ -38,6 +38,7 @@ class Store:
         self._base: int | None = None
         self._savepoints: list[tuple[str, str]] = []
         self.listeners: list[Callable[[str, str, DataFrame], None]] = []
+        self.functions: dict[str, Callable[[str, str, DataFrame], None]] = {}  # for triggers
 
     # ---------------------------------------------------------- manifests
 
@@ -189,9 +190,9 @@ class Store:
                 raise ValueError(f"table {name!r} exists")
             self.info(table)
             state["tables"][name] = state["tables"].pop(table)
-            for info in state["tables"].values():
-                for fk in info["foreign_keys"]:
-                    fk["table"] = name if fk["table"] == table else fk["table"]
+            found = [fk for info in state["tables"].values() for fk in [*info["foreign_keys"], *(v for k, v in info.get("named", {}).values() if k == "foreign_keys")]]
+            for item in [*found, *state.get("triggers", {}).values()]:
+                item["table"] = name if item["table"] == table else item["table"]
 
         self._change(edit)
 
@@ -209,10 +210,15 @@ class Store:
 
         self._change(edit)
 
-    def add_constraint(self, table: str, kind: str, value: Any) -> None:
+    def add_constraint(self, table: str, kind: str, value: Any, name: str | None = None) -> None:
         """kind: unique (columns), checks (expression) or foreign_keys (mapping); present rows must meet it."""
 
         def edit(state: dict[str, Any]) -> None:
+            named = self.info(table).setdefault("named", {})
+            if name in named:
+                raise ValueError(f"constraint {name!r} exists")
+            if name is not None:
+                named[name] = [kind, value]
             state["tables"][table][kind].append(value)
             self._validate(table, self.table(table))
 
@@ -306,7 +312,46 @@ class Store:
         self.info(table)["files"] = [saved]
         self._tell(table, kind, changes)
 
+    def create_trigger(self, name: str, table: str, when: str, event: str, function: str) -> None:
+        """Calls ``functions[function]`` with (table, kind, changed rows) on each insert, update or delete of the table.
+
+        The change is not committed then, so a function that raises refuses it. Those of ``when`` 'before' come
+        first. An upsert counts as insert and as update.
+        """
+        if function not in self.functions:
+            raise KeyError(f"no function {function!r}")
+        self.info(table)
+
+        def edit(state: dict[str, Any]) -> None:
+            triggers = state.setdefault("triggers", {})
+            if name in triggers:
+                raise ValueError(f"trigger {name!r} exists")
+            triggers[name] = {"table": table, "when": when, "event": event, "function": function}
+
+        self._change(edit)
+
+    def drop_trigger(self, name: str) -> None:
+        def edit(state: dict[str, Any]) -> None:
+            if state.setdefault("triggers", {}).pop(name, None) is None:
+                raise KeyError(f"no trigger {name!r}")
+
+        self._change(edit)
+
+    def drop_constraint(self, table: str, name: str) -> None:
+        def edit(state: dict[str, Any]) -> None:
+            named = self.info(table).setdefault("named", {})
+            if name not in named:
+                raise KeyError(f"{table} has no constraint {name!r}")
+            kind, value = named.pop(name)
+            state["tables"][table][kind].remove(value)
+
+        self._change(edit)
+
     def _tell(self, table: str, kind: str, changes: DataFrame) -> None:
+        events = {"upsert": {"insert", "update"}}.get(kind, {kind})
+        fired = [t for t in self.state().get("triggers", {}).values() if t["table"] == table and t["event"] in events]
+        for trigger in sorted(fired, key=lambda t: t["when"] != "before"):
+            self.functions[trigger["function"]](table, kind, changes)
         for listener in self.listeners:
             listener(table, kind, changes)
 

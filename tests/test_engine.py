@@ -163,3 +163,42 @@ def test_shown(spark):
     assert shown(df, "json") == '[{"id": 1, "s": "a,b", "ok": true}, {"id": 2, "s": null, "ok": false}]'
     assert shown(df).splitlines() == ["id | s   | ok", "---+-----+------", "1  | a,b | true", "2  |     | false", "(2 rows)"]
     assert shown(df.limit(0)) == "0 rows returned"
+
+
+def test_triggers(db):
+    seen = []
+
+    def refuse(table, kind, changed):
+        if changed.where("id < 0").count():
+            raise ValueError("negative")
+
+    db.store.functions |= {"note": lambda table, kind, changed: seen.append((table, kind, changed.count())), "refuse": refuse}
+    db.query("CREATE TABLE t (id INTEGER PRIMARY KEY)")
+    db.query("CREATE TRIGGER a AFTER INSERT ON t EXECUTE FUNCTION note()")
+    db.query("CREATE TRIGGER b BEFORE INSERT ON t EXECUTE FUNCTION refuse()")
+    db.query("INSERT INTO t VALUES (1), (2)")
+    with pytest.raises(ValueError):
+        db.query("INSERT INTO t VALUES (-1)")
+    db.query("DELETE FROM t WHERE id = 1")
+    db.query("DROP TRIGGER a")
+    db.query("INSERT INTO t VALUES (3)")
+    assert seen == [("t", "insert", 2)]
+    assert rows(db.query("SELECT * FROM t")) == [(2,), (3,)]
+    with pytest.raises(KeyError):
+        db.query("CREATE TRIGGER c AFTER DELETE ON t EXECUTE FUNCTION missing()")
+
+
+def test_named_constraints(db):
+    db.query("CREATE TABLE t (id INTEGER PRIMARY KEY, n INTEGER)")
+    db.query("INSERT INTO t VALUES (1, 5)")
+    db.query("ALTER TABLE t ADD CONSTRAINT small CHECK (n < 10)")
+    with pytest.raises(ConstraintError):
+        db.query("ALTER TABLE t ADD CONSTRAINT big CHECK (n > 10)")
+    with pytest.raises(ConstraintError):
+        db.query("INSERT INTO t VALUES (2, 11)")
+    db.query("ALTER TABLE t DROP CONSTRAINT small")
+    db.query("INSERT INTO t VALUES (2, 11)")
+    db.query("ALTER TABLE t ADD CONSTRAINT own FOREIGN KEY (id) REFERENCES t (id) ON DELETE CASCADE")
+    assert rows(db.query("SELECT * FROM t")) == [(1, 5), (2, 11)]
+    with pytest.raises(KeyError):
+        db.query("ALTER TABLE t DROP CONSTRAINT small")
