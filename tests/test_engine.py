@@ -202,3 +202,14 @@ def test_named_constraints(db):
     assert rows(db.query("SELECT * FROM t")) == [(1, 5), (2, 11)]
     with pytest.raises(KeyError):
         db.query("ALTER TABLE t DROP CONSTRAINT small")
+
+
+def test_unique_index(db):
+    db.query("CREATE TABLE t (id INTEGER)")
+    db.query("CREATE UNIQUE INDEX i ON t (id)")
+    db.query("INSERT INTO t VALUES (1)")
+    with pytest.raises(ConstraintError):
+        db.query("INSERT INTO t VALUES (1)")
+    db.query("DROP INDEX i")
+    db.query("INSERT INTO t VALUES (1)")
+    assert rows(db.query("SELECT * FROM t")) == [(1,), (1,)]
