@@ -1,13 +1,24 @@
 """Quality rules with risk-controlled thresholds.
 
-Every rule is a ratio of the text; a document goes if a ratio exceeds its cutoff. Cutoffs come from labelled rows:
-per stratum and rule, each cutoff of a fixed grid is tested exactly (binomial tail) for falsely rejecting more than
-its share of ``alpha`` of the good documents, at a level corrected for the number of all such tests (Bonferroni);
-the lowest cutoff that passes together with all higher ones is taken, none if none passes. So with probability
-1 - delta no stratum loses more than ``alpha`` of its good documents to the rules.
-
-Null texts have no words and fail the base rule. A null stratum is the stratum ''. Strata without enough labels get
-no cutoffs and keep what the base rule keeps. Repeated rows each give a row; repeated labels each count.
+Every rule is a ratio of the text; a document goes if a ratio exceeds its cutoff. Cutoffs come from labelled rows that
+pass the base rule, in two steps on different rows:
+
+- The rows labelled bad and the rows without a label give a path: one sequence of lower and lower cutoffs, rule after
+  rule, that rejects many bad rows early and few others.
+- The rows labelled good test the path. At each step the share of good documents that all rules reject together is
+  tested exactly (binomial tail) against ``alpha``; the path ends at the first step that fails. The path does not depend
+  on the rows that test it, so its tests need no correction for their number, nor ``alpha`` a split over rules.
+
+Strata with enough good rows are tested alone, each at an equal part of ``delta``. The other strata that have good rows
+are tested as one pool, or, where that is too small as well, get the cutoffs that hold for the whole corpus. So if
+labels are drawn independently, with probability 1 - delta the rules reject at most ``alpha`` of the good documents in
+each stratum tested alone, and at most ``alpha`` of those of the pool, or of the corpus, in the small strata together;
+no bound holds for a small stratum alone. A test needs least_rows(alpha, delta / tests) good rows to pass.
+
+Null texts have no words and fail the base rule. A null stratum is the stratum ''. Strata without good rows get no
+cutoffs and keep what the base rule keeps. Repeated rows each give a row and each count; a row with labels of both
+kinds is good. If labels leave fewer rows unlabelled than they call good, a fifth of the good rows, drawn by a hash of
+the key, helps to find the path and not to test it.
 """
 
 from __future__ import annotations
@@ -22,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tesselon.llm.common import col, record, stored, text_slices, texts_of
 
-#: Largest share of a stratum's good documents that may be rejected, and the probability that this fails.
+#: Largest share of good documents that may be rejected, and the probability that this fails.
 ALPHA, DELTA = 0.01, 0.05
 #: Cutoffs that are tested for each rule.
 GRID = tuple(k / 40 for k in range(1, 41))
@@ -117,30 +128,100 @@ def tail(k: int, n: int, p: float) -> float:
     return float(min(1.0, np.exp(np.logaddexp.reduce(choose + i * math.log(p) + (n - i) * math.log1p(-p)))))
 
 
-def cutoffs(counts: dict[tuple[str, str], np.ndarray], alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
-    """Cutoff by (stratum, rule) from how many good documents lie in each of the grid's len(GRID) + 1 bins."""
-    share, level = alpha / len(RULES), delta / max(1, len(counts) * len(GRID))
-    out: dict[tuple[str, str], float] = {}
-    for key, bins in counts.items():
-        n = int(bins.sum())
-        above = n - np.cumsum(bins)  # good documents over each cutoff
-        for k in range(len(GRID) - 1, -1, -1):
-            if above[k] > share * n or tail(int(above[k]), n, share) > level:
+def least_rows(alpha: float, level: float) -> int:
+    """The fewest good rows, none of them rejected, that bound the rejected share by ``alpha`` at ``level``."""
+    n = max(1, math.ceil(math.log(level) / math.log1p(-alpha)) - 1)
+    while tail(0, n, alpha) > level:
+        n += 1
+    return n
+
+
+def groups(counts: dict[str, int], alpha: float = ALPHA, delta: float = DELTA) -> tuple[list[tuple[list[str], list[str]]], float]:
+    """(strata that get the cutoffs, strata whose good rows test them) of each test, and the level of a test."""
+    names = sorted(counts, key=lambda x: (-counts[x], x))
+    for alone in range(len(names), -1, -1):
+        small = names[alone:]
+        level = delta / max(1, alone + bool(small))
+        need = least_rows(alpha, level)
+        if all(counts[x] >= need for x in names[:alone]):
+            break
+    out = [([x], [x]) for x in names[:alone]]
+    if small:
+        out.append((small, small if sum(counts[x] for x in small) >= need else names))
+    return out, level
+
+
+def path_of(bins: DataFrame, alpha: float = ALPHA) -> list[tuple[int, int]]:
+    """(rule, last cutoff) by place in RULES and GRID, in the order of the path, from (kind, a bin a rule, n).
+
+    Each round takes the rule and cutoff that reject most of the bad rows still there, less what they seem to reject of
+    good ones; rows without a label hold bad ones too, in the share that labels tell. A round is one small aggregation.
+    """
+    last = len(GRID)
+    totals = {r["kind"]: r["n"] for r in bins.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    bad, rest = totals.get("bad", 0), totals.get("rest", 0)
+    if not bad:
+        return []
+    mixed = bad / (bad + totals.get("good", 0)) if rest else 0.0
+    path: list[tuple[int, int]] = []
+    left = bins.where("kind != 'good'")
+    while len(path) < len(RULES):
+        found = np.zeros((2, len(RULES), last + 1))
+        rows = left.select("kind", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(r).alias("bin")) for k, r in enumerate(RULES)])).alias("x"))
+        for r in rows.groupBy("kind", "x.rule", "x.bin").agg(F.sum("n").alias("n")).collect():
+            found[int(r["kind"] == "rest"), r["rule"], r["bin"]] = r["n"]
+        above = found[:, :, ::-1].cumsum(2)[:, :, ::-1][:, :, 1:]  # rows over each cutoff
+        hit = above[0] / bad
+        lost = np.maximum(0.0, above[1] / max(1, rest) - mixed * hit) / max(1e-9, 1 - mixed)
+        gain = hit - lost / (10 * alpha)
+        gain[[r for r, _ in path]] = 0
+        rule, back = divmod(int(gain[:, ::-1].argmax()), last)  # of equal ones the highest cutoff
+        if gain[rule, last - 1 - back] <= 0:
+            break
+        path.append((rule, last - 1 - back))
+        left = left.where(F.col(RULES[rule]) <= last - 1 - back)
+    return path
+
+
+def cutoffs(steps: dict[str, np.ndarray], path: list[tuple[int, int]], alpha: float = ALPHA, delta: float = DELTA) -> list[tuple[list[str], dict[str, float]]]:
+    """(strata, cutoff by rule) of each test, from how many good rows each step rejects first; the last entry counts the others."""
+    tests, level = groups({k: int(x.sum()) for k, x in steps.items()}, alpha, delta)
+    walk = [(rule, k) for rule, end in path for k in range(len(GRID) - 1, end - 1, -1)]
+    out = []
+    for strata, by in tests:
+        first = sum((steps[x] for x in by), np.zeros(len(walk) + 1, np.int64))
+        n, gone, passed = int(first.sum()), 0, {}
+        for (rule, k), more in zip(walk, first[:-1].tolist(), strict=True):
+            gone += more
+            if gone > alpha * n or tail(gone, n, alpha) > level:
                 break
-            out[key] = GRID[k]
+            passed[RULES[rule]] = GRID[k]
+        out.append((strata, passed))
     return out
 
 
-def calibrated(found: DataFrame, labels: DataFrame, label_key: str = "doc_id", label: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
-    """Cutoffs from the labelled rows among ``found``; one grouped aggregation, a few rows a stratum to the driver."""
-    good = labels.where(col(label) == 1).select(col(label_key).cast("long").alias("key"))
-    bins = [_bin(r).alias(name) for name, r in ratios().items()]
-    held = found.where(~base_failed()).join(good, "key").select("stratum", *bins)
-    rows = held.select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("bin")) for r in RULES])).alias("x"))
-    counts: dict[tuple[str, str], np.ndarray] = {}
-    for r in rows.groupBy("stratum", "x.rule", "x.bin").count().collect():
-        counts.setdefault((r["stratum"], r["rule"]), np.zeros(len(GRID) + 1, np.int64))[r["bin"]] = r["count"]
-    return cutoffs(counts, alpha, delta)
+def calibrated(found: DataFrame, labels: DataFrame, label_key: str = "doc_id", label: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> list[tuple[list[str], dict[str, float]]]:
+    """(strata, cutoff by rule) from the rows of ``found`` that pass the base rule; a row for each stratum and step to the driver."""
+    marks = labels.where(col(label).isin(0, 1)).groupBy(col(label_key).cast("long").alias("key")).agg(F.max(col(label).cast("int")).alias("label"))
+    passing = found.where(~base_failed())
+    kind = F.when(F.col("label") == 1, "good").when(F.col("label") == 0, "bad").otherwise("rest")
+    fifth = F.pmod(F.xxhash64("key"), F.lit(5)) == 0
+    bins = passing.join(marks, "key", "left").select("stratum", kind.alias("kind"), fifth.alias("fifth"), *[_bin(r).alias(name) for name, r in ratios().items()])
+    bins = stored(bins.groupBy(*bins.columns).agg(F.count("*").alias("n")), "quality-bins")
+    totals = {r["kind"]: r["n"] for r in bins.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    if totals.get("rest", 0) < totals.get("good", 0):
+        bins = bins.withColumn("kind", F.when((F.col("kind") == "good") & F.col("fifth"), "rest").otherwise(F.col("kind")))
+    path = path_of(bins, alpha)
+    at, places = 0, []
+    for rule, end in path:
+        bin_ = F.col(RULES[rule])
+        places.append(F.when(bin_ > end, at + len(GRID) - bin_))
+        at += len(GRID) - end
+    first = F.coalesce(F.array_min(F.array(*places)), F.lit(at)) if places else F.lit(at)
+    steps: dict[str, np.ndarray] = {}
+    for r in bins.where("kind = 'good'").groupBy("stratum", first.alias("step")).agg(F.sum("n").alias("n")).collect():
+        steps.setdefault(r["stratum"], np.zeros(at + 1, np.int64))[r["step"]] = r["n"]
+    return cutoffs(steps, path, alpha, delta)
 
 
 def judged(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -148,6 +229,7 @@ def judged(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
     found = stored(features(df, key, text, stratum), "quality")
     limits = calibrated(found, labels, alpha=alpha, delta=delta)
     over = F.lit(False)
-    for (name, rule), cutoff in sorted(limits.items()):
-        over = over | ((F.col("stratum") == name) & (ratios()[rule] > cutoff))
+    for strata, passed in limits:
+        for rule, cutoff in passed.items():
+            over = over | (F.col("stratum").isin(*strata) & (ratios()[rule] > cutoff))
     return found.select(F.col("key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~over).alias("kept"))
