@@ -11,6 +11,8 @@ from tesselon.llm import bpe_codec, decontaminate, language_id, ngram_join, pii
 from tesselon.llm.common import scratch_path
 from tesselon.llm.queries import vocabulary
 
+#: Words of a shingle and least similarity, in hundredths, of near copies; op10_ngram_jaccard has a contract of its own.
+NEAR_SIZE, NEAR_PERCENT = 5, 80
 #: No oracle: no stage but the fourth can be said in SQL. The tests hold run() against plain versions of the stages.
 ORACLE_SQL = None
 
@@ -22,7 +24,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that n-gram links join, the one of smallest id stays."""
-    return ngram_join.representatives(docs)
+    return ngram_join.representatives(docs, size=NEAR_SIZE, percent=NEAR_PERCENT)
 
 
 def benchmark_phrases(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

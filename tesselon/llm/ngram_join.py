@@ -307,9 +307,9 @@ def _tagged(items: str, out: bool):
     return F.transform(items, lambda x: F.struct(x.alias("s"), F.lit(out).alias("out")))
 
 
-def representatives(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row of each component, the one of smallest id, with the columns of ``df``; rows with a null id all stay."""
-    found = components_of(df, key, text)
+    found = components_of(df, key, text, size, percent)
     gone = stored(found.where(col(key) != F.col("component_id")).select(col(key).alias("__key")).distinct(), "near-copies")
     often = stored(found.groupBy(col(key).alias("__key")).agg(F.count("*").alias("__n")).where("__n > 1 AND __key IS NOT NULL").select("__key"), "repeated-ids")
     mine = col(key).cast("long") == F.col("__key")

@@ -7,8 +7,9 @@ from pathlib import Path
 import numpy as np
 
 sys.path.insert(0, str(Path(__file__).parent))
-import brute  # noqa: E402, F401
+import brute  # noqa: E402
 
+import corpus_pipeline  # noqa: E402
 from tesselon.llm import quality_rules  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -47,3 +48,17 @@ def test_quality_bounds_the_combined_rejection():
     steps = {"a": np.array([0, 9, 0, 9, 0, 2000])}  # each rule alone loses under a hundredth, both too much
     assert quality_rules.cutoffs(steps, path) == [(["a"], {"symbol_ratio": 0.975, "caps_ratio": 1.0})]
     assert quality_rules.cutoffs({"a": np.array([0, 0, 0, 0, 0, n - 1])}, path) == [(["a"], {})]
+
+
+def test_near_copies_are_of_five_words(spark):
+    r = random.Random(7)
+    docs = []
+    for _ in range(8):
+        base = prose(r, 49).split()
+        for changed in ((), (24,), (9, 24, 39)):  # 40 of 50 shingles of five words and 42 of 50 of four; far fewer
+            docs.append(" ".join(f"new{len(docs)}" if k in changed else x for k, x in enumerate(base)))
+    docs = list(enumerate(docs))
+    want = {d for d, (_, comp) in brute.op10(docs, 5, 80).items() if d == comp}
+    assert len(want) < len({comp for _, comp in brute.op10(docs).values()})
+    df = spark.createDataFrame([(k, t, "en", "h") for k, t in docs], DOCS)
+    assert {x["doc_id"] for x in corpus_pipeline.near_copies(spark, df, "").collect()} == want
