@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from tesselon.llm import quality_rules  # noqa: E402
+from tesselon.llm import language_id, quality_rules  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -62,3 +62,10 @@ def test_near_copies_are_of_five_words(spark):
     assert len(want) < len({comp for _, comp in brute.op10(docs).values()})
     df = spark.createDataFrame([(k, t, "en", "h") for k, t in docs], DOCS)
     assert {x["doc_id"] for x in corpus_pipeline.near_copies(spark, df, "").collect()} == want
+
+
+def test_address_suffixes_decide_between_equal_texts(spark):
+    hosts = {"a.fr": "fr", "b.co.uk": "en", "C.ES": "es", "src0": "de"}  # src0: no suffix, the first of equal languages
+    df = spark.createDataFrame([(k, "abc xyz", None, h) for k, h in enumerate(hosts)], DOCS)
+    found = {x["doc_id"]: x["language"] for x in language_id.identified(df).collect()}
+    assert [found[k] for k in range(4)] == list(hosts.values())
