@@ -69,3 +69,26 @@ def test_address_suffixes_decide_between_equal_texts(spark):
     df = spark.createDataFrame([(k, "abc xyz", None, h) for k, h in enumerate(hosts)], DOCS)
     found = {x["doc_id"]: x["language"] for x in language_id.identified(df).collect()}
     assert [found[k] for k in range(4)] == list(hosts.values())
+
+
+def test_pipeline_run_on_planted_documents(spark, tmp_path):
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    from tesselon.llm.queries import vocabulary
+
+    r = random.Random(9)
+    one, two = prose(r, 10), prose(r, 10)
+    base = prose(r, 49).split()
+    plain, cut = prose(r, 60), (prose(r, 30) + " ", " " + prose(r, 30))
+    docs = [plain, None, "12 34", " ".join(base), " ".join("new" if k == 24 else x for k, x in enumerate(base)), plain, f"{prose(r, 20)} {one} x {two}", one.join(cut)]
+    rows = [(k, t, "en", "h", len(t or "")) for k, t in enumerate(docs)]
+    spark.createDataFrame(rows, f"{DOCS}, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, one), (2, two)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    byte = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    want = {}
+    for k, t in {0: plain, 3: docs[3], 7: "".join(cut)}.items():
+        ids = byte.encode(t, add_special_tokens=False).ids
+        want[k] = (len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), t)))
+    assert {x["doc_id"]: tuple(x)[1:] for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
