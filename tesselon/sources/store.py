@@ -8,8 +8,10 @@ version it started from is still the newest.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -163,22 +165,70 @@ class Store:
         self._change(edit)
 
     def add_column(self, table: str, column: str, kind: str, default: str | None = None) -> None:
-        """Old rows read as the default; no file is rewritten."""
+        """Old rows read as the default; no file is rewritten. Files hold the column by a name of its own if its name was used before."""
 
         def edit(state: dict[str, Any]) -> None:
-            info = state["tables"][table]
-            schema = T.StructType.fromJson(json.loads(info["schema"])).add(column, T.DataType.fromDDL(kind))
-            info["schema"] = schema.json()
+            info = self.info(table)
+            schema = T.StructType.fromJson(json.loads(info["schema"]))
+            if column in schema.names:
+                raise ValueError(f"{table} has a column {column!r}")
+            names = info.setdefault("names", {})
+            used = {x for f in info["files"] for x in f["columns"]} | set(names.values()) | set(schema.names)
+            names[column] = next(x for x in (column, *(f"{column}__{k}" for k in range(2, len(used) + 3))) if x not in used)
+            info["schema"] = schema.add(column, T.DataType.fromDDL(kind)).json()
             if default is not None:
                 info["defaults"][column] = default
-                info.setdefault("added", []).append(column)
 
         self._change(edit)
 
     def drop_column(self, table: str, column: str) -> None:
+        """No file is rewritten; a column that a key or a check needs stays."""
+
         def edit(state: dict[str, Any]) -> None:
-            info = state["tables"][table]
-            info["schema"] = T.StructType([f for f in T.StructType.fromJson(json.loads(info["schema"])) if f.name != column]).json()
+            info = self.info(table)
+            schema = T.StructType.fromJson(json.loads(info["schema"]))
+            if column not in schema.names:
+                raise KeyError(f"{table} has no column {column!r}")
+            keys = [info["primary_key"], *info["unique"], *(f["columns"] for f in info["foreign_keys"])]
+            keys += [f["references"] for other in state["tables"].values() for f in other["foreign_keys"] if f["table"] == table]
+            if any(column in k for k in keys) or any(_mentions(c, column) for c in info["checks"]) or len(schema) == 1:
+                raise ConstraintError(f"{table}.{column} is part of a key or check, or the last column")
+            info["schema"] = T.StructType([f for f in schema if f.name != column]).json()
+            info["not_null"] = [c for c in info["not_null"] if c != column]
+            info["defaults"].pop(column, None)
+            info.get("names", {}).pop(column, None)
+            info["autoincrement"] = None if info["autoincrement"] == column else info["autoincrement"]
+
+        self._change(edit)
+
+    def rename_column(self, table: str, column: str, name: str) -> None:
+        """Keys, checks and other tables' foreign keys follow; no file is touched."""
+
+        def renamed(columns: Sequence[str]) -> list[str]:
+            return [name if c == column else c for c in columns]
+
+        def edit(state: dict[str, Any]) -> None:
+            info = self.info(table)
+            schema = T.StructType.fromJson(json.loads(info["schema"]))
+            if column not in schema.names or name in schema.names:
+                raise ValueError(f"can't rename {table}.{column} to {name}")
+            info["schema"] = T.StructType([T.StructField(name if f.name == column else f.name, f.dataType) for f in schema]).json()
+            names = info.setdefault("names", {})
+            names[name] = names.pop(column, column)
+            info["primary_key"], info["not_null"] = renamed(info["primary_key"]), sorted(renamed(info["not_null"]))
+            info["unique"] = [renamed(u) for u in info["unique"]]
+            info["checks"] = [_mention(c, column, name) for c in info["checks"]]
+            info["defaults"] = {name if c == column else c: v for c, v in info["defaults"].items()}
+            info["autoincrement"] = name if info["autoincrement"] == column else info["autoincrement"]
+            own = [v for k, v in info.get("named", {}).values() if k == "foreign_keys"]
+            for fk in [*info["foreign_keys"], *own]:
+                fk["columns"] = renamed(fk["columns"])
+            for other in state["tables"].values():
+                for fk in [*other["foreign_keys"], *(v for k, v in other.get("named", {}).values() if k == "foreign_keys")]:
+                    fk["references"] = renamed(fk["references"]) if fk["table"] == table else fk["references"]
+            for key, (kind, value) in list(info.get("named", {}).items()):
+                if kind != "foreign_keys":
+                    info["named"][key] = [kind, renamed(value) if kind == "unique" else _mention(value, column, name)]
 
         self._change(edit)
 
@@ -242,10 +292,11 @@ class Store:
         schema = T.StructType.fromJson(json.loads(info["schema"]))
         if not info["files"]:
             return self.spark.createDataFrame([], schema)
-        parts = []
+        parts, names = [], info.get("names", {})
         for at, group in _runs(info["files"]):
-            df = self.spark.read.schema(T.StructType([f for f in schema if f.name in at])).parquet(*group)
-            parts.append(df.select(*[F.col(f.name) if f.name in at else F.expr(info["defaults"].get(f.name, "NULL")).cast(f.dataType).alias(f.name) for f in schema]))
+            held = [T.StructField(names.get(f.name, f.name), f.dataType) for f in schema if names.get(f.name, f.name) in at]
+            df = self.spark.read.schema(T.StructType(held)).parquet(*group)
+            parts.append(df.select(*[F.col(names.get(f.name, f.name)).alias(f.name) if names.get(f.name, f.name) in at else F.expr(info["defaults"].get(f.name, "NULL")).cast(f.dataType).alias(f.name) for f in schema]))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -253,9 +304,17 @@ class Store:
 
     def _save(self, name: str, rows: DataFrame) -> dict[str, Any]:
         path = f"{self.path}/{name}/{uuid.uuid4().hex}"
+        names = self.info(name).get("names", {})
+        rows = rows.toDF(*[names.get(c, c) for c in rows.columns])
         rows.write.parquet(path)
         return {"path": path, "columns": rows.columns}
 
+    def _saved(self, name: str, rows: DataFrame) -> tuple[dict[str, Any], DataFrame]:
+        """The entry of a new file, and its rows read back."""
+        saved = self._save(name, rows)
+        schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(saved["columns"], rows.schema, strict=True)])
+        return saved, self.spark.read.schema(schema).parquet(saved["path"]).toDF(*rows.columns)
+
     def _validate(self, table: str, rows: DataFrame, beside: DataFrame | None = None) -> None:
         """Checks the rows; ``beside`` are rows of the table that are known to be valid."""
         info = self.info(table)
@@ -279,6 +338,27 @@ class Store:
             if not known.join(parent, on, "left_anti").isEmpty():
                 raise ConstraintError(f"{table}: no parent in {fk['table']}")
 
+    def violations(self, table: str, rows: DataFrame) -> DataFrame:
+        """(constraint, rows) of each constraint of the table: how many of the given rows break it; of rows with one key all but one do."""
+        info, found = self.info(table), []
+
+        def count(name: str, bad: DataFrame) -> None:
+            found.append(bad.agg(F.count("*").alias("rows")).select(F.lit(name).alias("constraint"), "rows"))
+
+        for c in info["not_null"]:
+            count(f"NOT NULL ({c})", rows.where(F.col(c).isNull()))
+        for key in [k for k in [info["primary_key"], *info["unique"]] if k]:
+            known = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in key)).groupBy(*key).agg((F.count("*") - 1).alias("more"))
+            found.append(known.agg(F.coalesce(F.sum("more"), F.lit(0)).alias("rows")).select(F.lit(f"UNIQUE ({', '.join(key)})").alias("constraint"), "rows"))
+        for check in info["checks"]:
+            count(f"CHECK ({check})", rows.where(F.expr(f"NOT ({check})")))
+        for fk in info["foreign_keys"]:
+            parent = (rows if fk["table"] == table else self.table(fk["table"])).select(*[F.col(r).alias(f"__{r}") for r in fk["references"]])
+            on = [F.col(c) == F.col(f"__{r}") for c, r in zip(fk["columns"], fk["references"], strict=True)]
+            known = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in fk["columns"]))
+            count(f"FOREIGN KEY ({', '.join(fk['columns'])})", known.join(parent, on, "left_anti"))
+        return reduce(DataFrame.unionAll, found) if found else self.spark.createDataFrame([], "constraint string, rows bigint")
+
     def _filled(self, table: str, rows: DataFrame) -> DataFrame:
         """Missing columns by default or NULL, declared types, and numbers for an autoincrement column."""
         info = self.info(table)
@@ -306,8 +386,7 @@ class Store:
         return rows
 
     def _replace(self, table: str, rows: DataFrame, kind: str, changes: DataFrame) -> None:
-        saved = self._save(table, rows)
-        fresh = self.spark.read.schema(rows.schema).parquet(saved["path"])
+        saved, fresh = self._saved(table, rows)
         self._validate(table, fresh)
         self.info(table)["files"] = [saved]
         self._tell(table, kind, changes)
@@ -368,8 +447,7 @@ class Store:
             info = state["tables"][table]
             new = self._filled(table, rows)
             if conflict is None:
-                saved = self._save(table, new)
-                written = self.spark.read.schema(new.schema).parquet(saved["path"])
+                saved, written = self._saved(table, new)
                 self._validate(table, written, beside=self.table(table))
                 info["files"].append(saved)
                 affected = written.count()
@@ -383,8 +461,7 @@ class Store:
             keyed = new.where(known).withColumn("__place", place)
             w = Window.partitionBy(*key).orderBy(F.asc("__place") if conflict == "nothing" else F.desc("__place"))
             one = keyed.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__place", "__rank")
-            saved = self._save(table, one)
-            one = self.spark.read.schema(one.schema).parquet(saved["path"])
+            one = self._saved(table, one)[1]
             old = self.table(table)
             fresh = one.join(old.select(*key), key, "left_anti").select(*new.columns).unionByName(new.where(f"NOT ({known})"))
             if conflict == "nothing":
@@ -512,6 +589,18 @@ class Store:
         return out
 
 
+_WORDS = re.compile(r"'(?:[^'\\]|\\.|'')*'|`[^`]*`|\w+|.", re.S)
+
+
+def _mentions(check: str, column: str) -> bool:
+    return any(w.strip("`") == column for w in _WORDS.findall(check) if w[0] != "'")
+
+
+def _mention(check: str, column: str, name: str) -> str:
+    """The expression with another name for a column, texts left alone."""
+    return "".join(f"`{name}`" if w[0] != "'" and w.strip("`") == column else w for w in _WORDS.findall(check))
+
+
 def _runs(files: Sequence[Mapping[str, Any]]) -> list[tuple[frozenset[str], list[str]]]:
     """Files by the columns that they hold."""
     found: dict[frozenset[str], list[str]] = {}
