@@ -45,10 +45,15 @@ def export(df: DataFrame, path: str, *, kind: str = "jsonl", columns: Sequence[s
         raise ValueError(f"unknown export kind {kind!r}")
 
 
-def shown(df: DataFrame, kind: str = "table", max_rows: int = 1000) -> str:
-    """The first rows as text for a terminal: a table with the number of rows, CSV with a header, or a JSON array."""
+def shown(df: DataFrame, kind: str = "table", max_rows: int | None = None) -> str:
+    """The rows as text for a terminal: a table with the number of rows, CSV with a header, or a JSON array.
+
+    Rows come partition by partition. ``max_rows`` is for tables alone; the last line then says how many rows there are.
+    """
     names = df.columns
-    rows = df.limit(max_rows).collect()
+    if max_rows is not None and kind != "table":
+        raise ValueError(f"{kind} output has all rows")
+    rows = list(df.toLocalIterator()) if max_rows is None else df.limit(max_rows).collect()
     if kind == "json":
         return json.dumps([dict(zip(names, r, strict=True)) for r in rows], default=str, ensure_ascii=False)
     cells = [["" if v is None else str(v).lower() if isinstance(v, bool) else str(v) for v in r] for r in rows]
@@ -58,8 +63,21 @@ def shown(df: DataFrame, kind: str = "table", max_rows: int = 1000) -> str:
         return out.getvalue()
     if kind != "table":
         raise ValueError(f"unknown output kind {kind!r}")
-    if not rows:
+    total = df.count() if max_rows is not None and len(rows) == max_rows else len(rows)
+    if not total:
         return "0 rows returned"
     widths = [max(map(len, column)) for column in zip(names, *cells, strict=True)]
     lines = [" | ".join(c.ljust(w) for c, w in zip(line, widths, strict=True)).rstrip() for line in [names, *cells]]
-    return "\n".join([lines[0], "-+-".join("-" * w for w in widths), *lines[1:], f"({len(rows)} rows)"])
+    return "\n".join([lines[0], "-+-".join("-" * w for w in widths), *lines[1:], f"({total} rows)" if total == len(rows) else f"({len(rows)} of {total} rows)"])
+
+
+def batches(df: DataFrame, size: int = 1000):
+    """The rows in lists of ``size``, one partition at a time on the driver."""
+    held = []
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        held.append(row)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held

@@ -3,7 +3,7 @@
 import pytest
 
 from tesselon.plans.engine import Engine, bind
-from tesselon.sources.export import export, shown
+from tesselon.sources.export import batches, export, shown
 from tesselon.sources.store import ConstraintError
 
 
@@ -85,6 +85,59 @@ def test_columns_versions_branches(db):
     assert db.query("SELECT COUNT(*) FROM t").first()[0] == 2
 
 
+def test_parameters_are_values_and_nothing_else(db):
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    db.query("CREATE TABLE w (id INTEGER PRIMARY KEY, a TEXT, d DATE, ts TIMESTAMP, n DECIMAL(20, 4), b BLOB, x DOUBLE)")
+    odd = ["x :p1_0", "'; DELETE", "a\\", " WHERE y", "ON CONFLICT DO NOTHING", "q?$1 -- /*", "it''s, = )"]
+    for k, text in enumerate(odd):
+        db.query("INSERT INTO w (id, a) VALUES (?, ?)", [k, text])
+    assert [r["a"] for r in db.query("SELECT a FROM w ORDER BY id").collect()] == odd
+    assert db.query("UPDATE w SET a = ? WHERE a = ? AND a = ?", ["z", "x :p1_0", " OR true OR "]).first()[0] == 0
+    assert db.query("DELETE FROM w WHERE a = ? OR a = $1", ["' OR true OR '"]).first()[0] == 0
+    values = [date(2020, 2, 3), datetime(2020, 2, 3, 4, 5, 6, 7000), Decimal("12345678901.5"), b"\x00'\xff", -1.5e-300]
+    db.query("UPDATE w SET d = ?, ts = ?, n = ?, b = ?, x = ? WHERE a = ?", [*values, odd[2]])
+    assert [tuple(r) for r in db.query("SELECT d, ts, n, b, x FROM w WHERE id = 2").collect()] == [(values[0], values[1], Decimal("12345678901.5000"), bytearray(values[3]), values[4])]
+    db.query("UPDATE w SET a = 'x WHERE y', d = NULL WHERE id = 1 -- WHERE id = 2")
+    db.query("INSERT INTO w (id, a) VALUES (1, 'z ON CONFLICT (id) DO NOTHING') ON CONFLICT (id) DO UPDATE SET a = concat(old.a, ' SET b = ', excluded.a)")
+    assert db.query("SELECT a FROM w WHERE id = 1").first()[0] == "x WHERE y SET b = z ON CONFLICT (id) DO NOTHING"
+    assert db.query("DELETE FROM w WHERE id IN (?) AND a <> ?", [[1, 2, 3], " WHERE y"]).first()[0] == 2
+    with pytest.raises(ValueError):
+        db.query("DELETE FROM w WHERE a = ?")
+
+
+def test_columns_dropped_and_added(db):
+    db.query("CREATE TABLE t (id INTEGER PRIMARY KEY, a TEXT NOT NULL, n INTEGER, CHECK (n > 0))")
+    db.query("INSERT INTO t VALUES (1, 'old', 5)")
+    db.query("ALTER TABLE t DROP COLUMN a")
+    db.query("ALTER TABLE t ADD COLUMN a TEXT DEFAULT 'new'")
+    assert rows(db.query("SELECT id, a FROM t")) == [(1, "new")]
+    db.query("INSERT INTO t (id, n) VALUES (2, 6)")
+    db.query("UPDATE t SET a = 'mine' WHERE id = 1")
+    for column in ("id", "n", "none"):
+        with pytest.raises((ConstraintError, KeyError)):
+            db.query(f"ALTER TABLE t DROP COLUMN {column}")
+    db.query("ALTER TABLE t RENAME COLUMN n TO a2")
+    db.query("ALTER TABLE t RENAME COLUMN id TO k")
+    assert rows(db.query("SELECT k, a, a2 FROM t")) == [(1, "mine", 5), (2, "new", 6)]
+    for bad in ("(3, -1)", "(2, 1)"):
+        with pytest.raises(ConstraintError):
+            db.query(f"INSERT INTO t (k, a2) VALUES {bad}")
+    db.query("CREATE TABLE c (k INTEGER REFERENCES t (k))")
+    db.query("ALTER TABLE t RENAME COLUMN k TO key")
+    with pytest.raises(ConstraintError):
+        db.query("INSERT INTO c VALUES (9)")
+    db.query("INSERT INTO c VALUES (1)")
+
+
+def test_explain_analyze(db):
+    db.query("CREATE TABLE t (id INTEGER)")
+    db.query("INSERT INTO t VALUES (1), (2)")
+    lines = [r[0] for r in db.query("EXPLAIN ANALYZE SELECT * FROM t WHERE id > ?", [1]).collect()]
+    assert lines[0] == "Rows: 1" and lines[1].startswith("Execution time: ")
+
+
 def test_view_explain_bind(db):
     db.query("CREATE TABLE t (id INTEGER)")
     db.query("INSERT INTO t VALUES (1), (2), (3)")
@@ -163,6 +216,8 @@ def test_shown(spark):
     assert shown(df, "json") == '[{"id": 1, "s": "a,b", "ok": true}, {"id": 2, "s": null, "ok": false}]'
     assert shown(df).splitlines() == ["id | s   | ok", "---+-----+------", "1  | a,b | true", "2  |     | false", "(2 rows)"]
     assert shown(df.limit(0)) == "0 rows returned"
+    assert shown(df, max_rows=1).splitlines()[-1] == "(1 of 2 rows)"
+    assert [len(x) for x in batches(df.union(df), 3)] == [3, 1]
 
 
 def test_triggers(db):
