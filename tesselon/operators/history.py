@@ -84,14 +84,52 @@ def conflicts(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
 
 def merge(ours: DataFrame, theirs: DataFrame, resolve: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """All changes of both branches; conflicting cells need a resolver, whose values come as later updates."""
+    """All changes of both branches, common ones once; conflicting cells need a resolver, whose values come as later updates.
+
+    A change is common if its id, time, table, row, operation and values are equal, not by its id alone: branches may
+    number their changes on their own.
+    """
     open_cells = conflicts(ours, theirs)
-    both = ours.unionByName(theirs.join(ours.select("id"), "id", "left_anti"))
+    if resolve is None and not open_cells.isEmpty():
+        raise ValueError("the branches conflict")
+
+    def marked(log: DataFrame) -> DataFrame:
+        shown = [F.to_json(F.array_sort(F.map_entries(F.coalesce(c, F.create_map().cast("map<string,string>"))))) for c in ("old_values", "new_values")]
+        return log.withColumn("__same", F.struct("id", "ts", "table_name", "row_id", "operation", *[x.alias(f"v{k}") for k, x in enumerate(shown)]))
+
+    mine, other = marked(ours).select(F.col("__same").alias("__mine")), marked(theirs)
+    both = ours.unionByName(other.join(mine, F.col("__same").eqNullSafe(F.col("__mine")), "left_anti").drop("__same"))
     if resolve is None:
-        if not open_cells.isEmpty():
-            raise ValueError("the branches conflict")
         return both
     top = both.agg(F.max("id").alias("top_id"), F.max("ts").alias("top_ts"))
-    fixes = open_cells.select("table_name", "row_id", F.create_map("column", resolve(F.col("ours"), F.col("theirs"))).alias("new_values"))
-    fixes = fixes.crossJoin(F.broadcast(top)).select((F.col("top_id") + 1 + F.xxhash64("table_name", "row_id", F.map_keys("new_values")) % 1_000_000 + 1_000_000).alias("id"), F.col("top_ts").alias("ts"), "table_name", "row_id", F.lit("update").alias("operation"), F.lit(None).cast("map<string,string>").alias("old_values"), "new_values")
+    cells = open_cells.select("table_name", "row_id", F.struct("column", resolve(F.col("ours"), F.col("theirs")).alias("v")).alias("cell"))
+    rows = cells.groupBy("table_name", "row_id").agg(F.map_from_entries(F.array_sort(F.collect_list("cell"))).alias("new_values"))  # a row's columns
+    fixes = rows.crossJoin(F.broadcast(top)).select((F.col("top_id") + 1 + F.monotonically_increasing_id()).alias("id"), F.col("top_ts").alias("ts"), "table_name", "row_id", F.lit("update").alias("operation"), F.lit(None).cast("map<string,string>").alias("old_values"), "new_values")
     return both.unionByName(fixes, allowMissingColumns=True)
+
+
+def restored(log: DataFrame, table: str, ts) -> DataFrame:
+    """Changes that, added to the log, take a table back to how it stood at a time: deletes, inserts and updates of rows that differ."""
+    now, then = as_of(log, table), as_of(log, table, ts)
+    both = now.select("row_id", F.col("values").alias("now")).join(then.select("row_id", F.col("values").alias("then")), "row_id", "full")
+
+    def shown(x: str) -> Column:
+        return F.to_json(F.array_sort(F.map_entries(x)))
+
+    differ = both.where(~shown("now").eqNullSafe(shown("then")))
+    gone = F.map_from_entries(F.transform(F.array_except(F.map_keys("now"), F.map_keys("then")), lambda k: F.struct(k, F.lit(None).cast("string"))))
+    back = F.when(F.col("now").isNull(), F.col("then")).when(F.col("then").isNotNull(), F.map_concat("then", gone))
+    kind = F.when(F.col("then").isNull(), "delete").when(F.col("now").isNull(), "insert").otherwise("update")
+    return differ.select("row_id", F.lit(table).alias("table_name"), kind.alias("operation"), F.col("now").alias("old_values"), back.alias("new_values"))
+
+
+def pruned(log: DataFrame, before) -> DataFrame:
+    """The log with the changes up to a time put together to one insert for each row that then stood; later states are the same."""
+    old = log.where(F.col("ts") <= before)
+    top = old.groupBy("table_name", "row_id").agg(F.max(F.struct("ts", "id")).alias("top"))
+    names = [r[0] for r in old.select("table_name").distinct().collect()]  # a row for each table
+    out = log.where((F.col("ts") > before) | F.col("ts").isNull())
+    for name in names:
+        rows = as_of(old, name).join(top.where(F.col("table_name") == name), "row_id")
+        out = out.unionByName(rows.select(F.col("top.id").alias("id"), F.col("top.ts").alias("ts"), F.lit(name).alias("table_name"), "row_id", F.lit("insert").alias("operation"), F.col("values").alias("new_values")), allowMissingColumns=True)
+    return out

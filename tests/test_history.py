@@ -31,6 +31,16 @@ def test_diff_and_merge(spark):
         H.merge(a, b)
 
 
+def test_merge_keeps_changes_of_branches_that_number_alone(spark):
+    common = (0, 9, "insert", {"n": "c"})
+    a, b = log(spark, common, (1, 1, "insert", {"n": "x"})), log(spark, common, (1, 2, "insert", {"n": "x"}), (2, 1, "update", {"m": "y"}))
+    assert sorted(r["row_id"] for r in H.merge(a, b).collect()) == [1, 1, 2, 9]
+    other = log(spark, common, (1, 1, "insert", {"n": "z", "k": "1"}))
+    merged = H.merge(a, other, lambda ours, theirs: theirs)
+    assert merged.count() == 4 and merged.select("id").where("id > 1").count() == 1
+    assert {r["row_id"]: r["values"] for r in H.as_of(merged, "users").collect()} == {1: {"n": "z", "k": "1"}, 9: {"n": "c"}}
+
+
 def test_stream(spark, tmp_path):
     rows = [(1, T0, "users", 1, "insert", {"n": "a"}), (2, T0, "users", 1, "update", {"m": "b"}), (3, T0, "users", 2, "insert", {"n": "c"}), (4, T0, "users", 2, "delete", None), (5, T0, "other", 9, "insert", {})]
     changes = spark.createDataFrame(rows, "lsn bigint, ts timestamp, table_name string, row_id bigint, operation string, new_values map<string,string>")
