@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a group that a running average copies while it grows; blocks of these are then put together.
+EMA_ROWS = 256
+
+
 def mean(x) -> Column:
     return F.coalesce(F.avg(x), F.lit(0.0))
 
@@ -31,12 +35,16 @@ def median(x) -> Column:
 
 
 def summary(x) -> list[Column]:
+    """All at once; the percentiles share one buffer of the group's different values."""
     x = F.col(x) if isinstance(x, str) else x
     zero = F.lit(0.0)
+    points = (50, 25, 75, 90, 95, 99)
+    found = F.percentile(x, F.array(*[F.lit(p / 100) for p in points]))
+    at = {p: F.coalesce(F.get(found, F.lit(k)), zero) for k, p in enumerate(points)}
     return [
-        F.count(x).alias("count"), F.coalesce(F.sum(x), zero).alias("sum"), mean(x).alias("mean"), median(x).alias("median"),
+        F.count(x).alias("count"), F.coalesce(F.sum(x), zero).alias("sum"), mean(x).alias("mean"), at[50].alias("median"),
         F.coalesce(F.min(x), zero).alias("min"), F.coalesce(F.max(x), zero).alias("max"), variance(x).alias("variance"), std_dev(x).alias("std_dev"),
-        *[percentile(x, p).alias(f"p{p}") for p in (25, 50, 75, 90, 95, 99)],
+        *[at[p].alias(f"p{p}") for p in (25, 50, 75, 90, 95, 99)],
     ]
 
 
@@ -63,14 +71,21 @@ def moving_average(value: str, width: int, order: Sequence, by: Sequence = ()) -
 def exponential_average(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, alpha: float, out: str = "ema") -> DataFrame:
     """(by, order, value, out): a recurrence over each group's rows in order, seeded with the first value."""
     rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("__v")))).alias("__rows"))
-    start = F.struct(F.array().cast("array<double>").alias("all"), F.lit(None).cast("double").alias("last"))
+    size = F.size("__rows")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / EMA_ROWS).cast("int")), lambda k: F.slice("__rows", k * EMA_ROWS + 1, F.lit(EMA_ROWS)))
 
     def step(acc, x):
         now = F.when(acc["last"].isNull(), x["__v"]).otherwise(alpha * x["__v"] + (1 - alpha) * acc["last"])
         return F.struct(F.concat(acc["all"], F.array(now)).alias("all"), now.alias("last"))
 
-    values = F.aggregate("__rows", start, step, lambda acc: acc["all"])
-    pairs = rows.select(*by, F.explode(F.arrays_zip(F.col("__rows"), values.alias("__ema"))).alias("__x"))
+    def part(acc, xs):
+        start = F.struct(F.array().cast("array<double>").alias("all"), acc["last"].alias("last"))
+        done = F.aggregate(xs, start, step)
+        return F.get(F.transform(F.array(done), lambda d: F.struct(F.concat(acc["all"], F.array(d["all"])).alias("all"), d["last"].alias("last"))), F.lit(0))
+
+    start = F.struct(F.array().cast("array<array<double>>").alias("all"), F.lit(None).cast("double").alias("last"))
+    values = F.flatten(F.aggregate(parts, start, part, lambda acc: acc["all"]))
+    pairs = rows.withColumn("__ema", values).select(*by, F.explode(F.arrays_zip("__rows", "__ema")).alias("__x"))
     return pairs.select(*by, *[F.col(f"__x.__rows.{o}").alias(o) for o in order], F.col("__x.__rows.__v").alias(value), F.col("__x.__ema").alias(out))
 
 

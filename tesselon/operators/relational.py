@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselon.functions.scalar import as_column
+from tesselon.sources.scratch import stored
 
 #: Predicates by name, as filters of exports and pipelines give them.
 PREDICATES = {
@@ -63,6 +64,38 @@ def count_distinct_over(column, window) -> Column:
     return F.size(F.collect_set(column).over(window)).cast("bigint")
 
 
+def with_count_distinct(df: DataFrame, by: Sequence[str], column: str, out: str) -> DataFrame:
+    """``df`` with the number of different values of a column among the rows of equal ``by``, from an aggregate joined back; nothing is gathered."""
+    counts = df.groupBy(*by).agg(F.countDistinct(column).alias(out))
+    renamed = counts.toDF(*[f"__{c}" for c in by], out)
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    return df.join(renamed, on).drop(*[f"__{c}" for c in by])
+
+
+def with_row_number(df: DataFrame, keys: Sequence, out: str) -> DataFrame:
+    """``df`` with the place of each row in the order of all rows, from 1, without gathering them in one task.
+
+    Rows are sorted by range partitions and stored; the partitions' sizes, a row for each, give the offsets. Of equal keys any comes first.
+    """
+    low = F.lit((1 << 33) - 1)  # this id counts rows within a partition in its lower 33 bits
+    placed = stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__part", F.shiftright("__id", 33))
+    total, before = 0, []
+    for r in placed.groupBy("__part").count().orderBy("__part").collect():
+        before.append((r["__part"], total))
+        total += r["count"]
+    offsets = df.sparkSession.createDataFrame(before, "__part long, __before long")
+    return placed.join(F.broadcast(offsets), "__part").withColumn(out, F.col("__before") + F.col("__id").bitwiseAND(low) + 1).drop("__id", "__part", "__before")
+
+
+def chained(first: DataFrame, *rest: tuple[str, bool, DataFrame]) -> DataFrame:
+    """Set operations (kind, keep_all, branch) of equal precedence that bind to the right: a op (b op c)."""
+    if not rest:
+        return first
+    kind, keep_all, branch = rest[0]
+    return set_operation(kind, first, chained(branch, *rest[1:]), keep_all)
+
+
 def set_operation(kind: str, left: DataFrame, right: DataFrame, keep_all: bool = False) -> DataFrame:
     """UNION, INTERSECT or EXCEPT by position; widths must agree, names come from the left."""
     if len(left.columns) != len(right.columns):

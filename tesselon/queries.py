@@ -166,7 +166,13 @@ same("window_rows_single_bound", "events", sql="SELECT event_id, MAX(value) OVER
 same("window_running_sum", "events", sql="SELECT event_id, ROUND(SUM(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS s FROM events")
 same("window_following", "events", sql="SELECT event_id, MIN(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS m FROM events")
 same("lag_lead", "events", sql="SELECT event_id, LAG(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, LEAD(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events")
-same("window_null_order", "orders", sql="SELECT o_orderkey, CAST(ROW_NUMBER() OVER (ORDER BY NULLIF(o_orderstatus, 'P') ASC NULLS FIRST, o_orderkey) AS BIGINT) AS rn FROM orders")
+
+
+@query("window_null_order", "SELECT o_orderkey, CAST(ROW_NUMBER() OVER (ORDER BY NULLIF(o_orderstatus, 'P') ASC NULLS FIRST, o_orderkey) AS BIGINT) AS rn FROM orders")
+def _(t):
+    found = t("orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("s"))
+    return R.with_row_number(found, [F.asc_nulls_first("s"), F.asc("o_orderkey")], "rn").select("o_orderkey", "rn")
+
 
 
 @query("window_ordered_total", "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey) AS n FROM orders")
@@ -177,14 +183,19 @@ def _(t):
 @query("window_count_distinct", """
     SELECT event_id, n FROM events JOIN (SELECT user_id AS u, COUNT(DISTINCT event_type) AS n FROM events GROUP BY user_id) ON user_id = u""")
 def _(t):
-    return t("events").select("event_id", R.count_distinct_over("event_type", R.whole("user_id")).alias("n"))
+    return R.with_count_distinct(t("events"), ["user_id"], "event_type", "n").select("event_id", "n")
 
 
 # ------------------------------------------------------------ sort, limit, distinct, set operations
 
 same("order_limit_offset", "orders", sql="SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
 same("top_k", "lineitem", sql="SELECT l_orderkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 20")
-same("order_nulls", "orders", sql="SELECT o_orderkey, NULLIF(o_orderstatus, 'P') AS s FROM orders ORDER BY s ASC NULLS FIRST, o_orderkey LIMIT 15")
+@query("order_nulls", "SELECT o_orderkey, NULLIF(o_orderstatus, 'P') AS s, CAST(ROW_NUMBER() OVER (ORDER BY NULLIF(o_orderstatus, 'P') DESC NULLS LAST, o_orderkey) AS BIGINT) AS place FROM orders")
+def _(t):
+    found = t("orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("s"))
+    return R.with_row_number(found, [F.desc_nulls_last("s"), F.asc("o_orderkey")], "place")
+
+
 same("distinct", "orders", sql="SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
 same("union_all", "nation", "region", sql="SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region")
 same("union_distinct", "nation", "region", sql="SELECT n_name AS x FROM nation UNION SELECT r_name FROM region UNION SELECT NULLIF(r_name, r_name) FROM region")
@@ -208,6 +219,12 @@ def _(t):
     return R.set_operation("union", both, t("region").select(F.col("r_regionkey").cast("bigint")), keep_all=True)
 
 
+@query("set_operations_to_the_right", "SELECT n_nationkey AS k FROM nation EXCEPT (SELECT n_regionkey FROM nation UNION SELECT 7)")
+def _(t):
+    spark = t("nation").sparkSession
+    return R.chained(t("nation").select(F.col("n_nationkey").alias("k")), ("except", False, t("nation").select("n_regionkey")), ("union", False, spark.sql("SELECT 7")))
+
+
 # ------------------------------------------------------------ common table expressions, recursion, views
 
 same("cte_chain", "orders", sql="WITH a AS (SELECT o_custkey, SUM(o_totalprice) AS s FROM orders GROUP BY o_custkey), b AS (SELECT o_custkey FROM a WHERE s > 1000000) SELECT COUNT(*) AS n, MIN(o_custkey) AS lo FROM b")
@@ -315,6 +332,19 @@ def _(t):
     return t("events").select("event_id", S.json_array(F.col("event_type"), F.col("user_id")).alias("a"), S.json_object("t", F.col("event_type")).alias("o"), S.json_keys(p).alias("keys"), S.json_type(p).alias("kind"), S.json_array_length(p).alias("n"))
 
 
+@query("fn_json_shapes", """
+    SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'object' WHEN 1 THEN 'array' WHEN 2 THEN 'string' WHEN 3 THEN 'integer' WHEN 4 THEN 'boolean' END AS kind,
+    CAST(CASE event_id % 6 WHEN 1 THEN 2 ELSE 0 END AS BIGINT) AS n, CASE event_id % 6 WHEN 0 THEN '["a","b"]' ELSE '[]' END AS keys, CASE event_id % 6 WHEN 0 THEN CAST(event_id AS VARCHAR) END AS deep FROM events""")
+def _(t):
+    k = F.col("event_id").cast("string")
+    shapes = [F.concat(F.lit('{"a":{"x":[1,'), k, F.lit(']},"b":null}')), F.concat(F.lit("["), k, F.lit(",[1]]")), F.concat(F.lit('"'), k, F.lit('"')), k, F.lit("true")]
+    j = F.lit(None).cast("string")
+    for n, shape in enumerate(shapes):
+        j = F.when(F.col("event_id") % 6 == n, shape).otherwise(j)
+    return t("events").withColumn("j", j).select("event_id", S.json_type(F.col("j")).alias("kind"), S.json_array_length(F.col("j")).alias("n"), S.json_keys(F.col("j")).alias("keys"), S.json_extract(F.col("j"), "a.x.1").alias("deep"))
+
+
+same("fn_bitwise", "part", sql="SELECT p_partkey, p_size & 6 AS a, p_size | 6 AS o, ~p_size AS n FROM part")
 same("fn_conditional", "orders", sql="SELECT o_orderkey, COALESCE(NULLIF(o_orderstatus, 'P'), 'none') AS c, GREATEST(o_custkey, 50, NULL) AS g, LEAST(o_custkey, 50) AS l, NULLIF(o_orderstatus, 'F') AS n FROM orders")
 same("fn_cast", "orders", sql="SELECT o_orderkey, CAST(o_orderkey AS VARCHAR(20)) AS s, CAST(o_totalprice AS DECIMAL(12, 2)) AS d, CAST(o_orderdate AS DATE) AS day FROM orders")
 
