@@ -3,6 +3,7 @@
 import oracle
 import pytest
 
+import tesselon.store_queries  # noqa: F401
 from tesselon.queries import ORACLES, QUERIES
 
 SF = "sf0.001"
