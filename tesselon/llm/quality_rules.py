@@ -50,11 +50,13 @@ _SQL = "key long, stratum string, " + ", ".join(f"{n} long" for n, _ in _FIELDS)
 
 
 def repeated(ids: np.ndarray) -> int:
-    """Words in three-word windows that occur twice or more."""
+    """Words in three-word windows that occur twice or more; ids count from 0."""
     n = len(ids) - 2
     if n < 2:
         return 0
-    keys = (ids[:-2] << 42) + (ids[1:-1] << 21) + ids[2:]
+    top = int(ids.max()) + 1  # products stay under 2^63 for texts of under three billion words
+    pairs = np.unique(ids[:-2] * top + ids[1:-1], return_inverse=True)[1]
+    keys = pairs * top + ids[2:]
     order = np.argsort(keys, kind="stable")
     same = np.diff(keys[order]) == 0
     often = np.zeros(n + 4, np.int8)
@@ -71,8 +73,6 @@ def counts_of(text: str) -> list[int]:
     words = raw.split()
     seen: dict[bytes, int] = {}
     ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
-    if len(seen) >= 1 << 21:  # ids no longer fit three to a key
-        raise ValueError("a text has over two million different words")
     lines = [x for x in raw.split(b"\n") if x.translate(None, _SPACE)]
     return [
         len(words),
@@ -226,10 +226,12 @@ def calibrated(found: DataFrame, labels: DataFrame, label_key: str = "doc_id", l
 
 def judged(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(key, counts, base_failed, kept) of every row."""
+    spark = df.sparkSession
     found = stored(features(df, key, text, stratum), "quality")
-    limits = calibrated(found, labels, alpha=alpha, delta=delta)
+    limits = [(name, *(passed.get(rule) for rule in RULES)) for strata, passed in calibrated(found, labels, alpha=alpha, delta=delta) for name in strata if passed]
+    known = spark.createDataFrame(limits, "stratum string, " + ", ".join(f"max_{rule} double" for rule in RULES))  # a row for each stratum
     over = F.lit(False)
-    for strata, passed in limits:
-        for rule, cutoff in passed.items():
-            over = over | (F.col("stratum").isin(*strata) & (ratios()[rule] > cutoff))
-    return found.select(F.col("key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~over).alias("kept"))
+    for rule, ratio in ratios().items():
+        over = over | F.coalesce(ratio > F.col(f"max_{rule}"), F.lit(False))
+    joined = found.join(known, "stratum", "left")
+    return joined.select(F.col("key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~over).alias("kept"))
