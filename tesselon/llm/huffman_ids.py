@@ -36,8 +36,9 @@ from tesselon.llm.common import col, record, stored, text_slices, texts_of
 LANE = 256
 #: Ids after which a block ends (with the document at hand).
 BLOCK_IDS = 1 << 16
-#: Ids of a segment, the unit of one writing task; there are at most MAX_SEGMENTS, which bounds what the driver holds.
-SEGMENT_IDS, MAX_SEGMENTS = 1 << 19, 8192
+#: Ids of a segment, sorted as one; there are at most MAX_SEGMENTS, which bounds what the driver holds (a number for each).
+#: Beyond their product, 6.9e10 ids, segments grow: 2e8 ids or some 0.3 GB of codes for 100 TB of text, sorted with spilling.
+SEGMENT_IDS, MAX_SEGMENTS = 1 << 19, 1 << 17
 #: Pieces whose ids one tokenizing worker keeps; beyond that it starts anew.
 CACHE_PIECES = 500_000
 #: Ids decoded at a time.
