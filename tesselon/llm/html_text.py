@@ -1,10 +1,14 @@
 """Main text of web pages by tree scoring.
 
-A tolerant reader builds the element tree. Elements that can't hold the article (scripts, menus, forms ..., by tag,
-role, class or id) are cut off. Every paragraph passes points, for itself, its commas and its length, to its
-parent, and half of them to its grandparent; a container's points are discounted by its link density. The best
-container is kept, widened to an article or main element around it, with those siblings that score well too or are
-paragraphs of running text. Blocks come out in page order, white space inside one turned into single spaces.
+A tolerant reader builds the element tree. Elements that can't hold the article are cut off: by tag (scripts, menus,
+forms, also a header or footer inside the article, with all it holds), by being hidden, or by a word of their role,
+class or id. Such a word counts as a part of a name on containers, and as a whole name on paragraphs, headings and
+table cells; after "with", "has", "no" or "without" it tells of the layout and doesn't count; nor does it on wrappers, which
+hold a main, an article or a first-level heading that isn't cut itself. Every paragraph passes points, for itself, its
+commas and its length, to its parent, and half of them to its grandparent; a container's points are discounted by its
+link density. The best container is kept, widened to an article or main element around it, with those siblings that
+hold a share of its points too or are paragraphs of running text. Blocks come out in page order, white space inside one
+turned into single spaces.
 
 A null page counts as empty; a page without text gives ''. Missing end tags, stray '<' and unclosed comments are
 read as browsers roughly do. Repeated rows each give a row; an empty table gives none.
@@ -38,36 +42,62 @@ HOLDERS = frozenset({"article", "main"})
 #: A sibling is kept from this share of the best container's points on, or as a paragraph of at least so many characters with few links.
 SIBLING_SHARE, SIBLING_CHARS, SIBLING_LINKS = 0.2, 80, 0.25
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[A-Za-z][^<>]*\Z|[^<]+|<", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _PARTS = re.compile(r"[^a-z0-9]+")
+#: Parts of a name after which a word tells of the layout around an element.
+LAYOUT = frozenset("with has no without".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "cut", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "cut", "points", "total", "chars", "linked", "commas")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool = False):
         self.tag, self.parent, self.cut = tag, parent, cut
         self.children: list[Node | str] = []
-        self.points, self.chars, self.linked = 0.0, 0, 0
+        self.points, self.total, self.chars, self.linked, self.commas = 0.0, 0.0, 0, 0, 0
 
 
-def unlikely(tag: str, attributes: str) -> bool:
-    if tag in CUT:
-        return True
-    if not attributes or tag in ("html", "body"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    if tag in HOLDERS:
+def attributes_of(raw: str) -> dict[str, str]:
+    """The first value of each attribute, lower-case."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        out.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    return out
+
+
+def hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
+
+
+def named_unlikely(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether role, class or id say that the element isn't part of the article."""
+    if tag in ("html", "body", "main"):
         return False
-    words = {w for m in _MARKS.finditer(attributes) for w in _PARTS.split((m[1] or m[2] or m[3] or "").lower())}
-    return not words.isdisjoint(UNLIKELY)
+    for name in " ".join(attributes.get(k, "") for k in ("role", "class", "id")).split():
+        parts = [name] if tag in PARAGRAPH or tag in HOLDERS else _PARTS.split(name)
+        if any(x in UNLIKELY and (k == 0 or parts[k - 1] not in LAYOUT) for k, x in enumerate(parts)):
+            return True
+    return False
+
+
+def spare_wrappers(root: Node, suspects: list[Node]) -> None:
+    """Suspects that hold what marks an article are not cut; inner ones decide before outer ones."""
+    for node in reversed(suspects):
+        stack: list[Node] = [c for c in node.children if isinstance(c, Node)]
+        while stack:
+            x = stack.pop()
+            if x.cut:
+                continue
+            if x.tag in HOLDERS or x.tag == "h1":
+                node.cut = False
+                break
+            stack += [c for c in x.children if isinstance(c, Node)]
 
 
 def tree(page: str) -> Node:
     root = Node("html", None)
+    suspects: list[Node] = []
     at, pos, size = root, 0, len(page)
     lower = None
     while pos < size:
@@ -76,7 +106,7 @@ def tree(page: str) -> Node:
         tag = m[2]
         if tag is None:
             text = m[0]
-            if not (text.startswith("<!") or text.startswith("<?")):
+            if text[0] != "<" or text == "<":  # else a comment or a tag that the page ends in
                 at.children.append(text)
             continue
         tag = tag.lower()
@@ -106,9 +136,14 @@ def tree(page: str) -> Node:
                     at = node.parent
                     break
                 node = node.parent
-        node = Node(tag, at, unlikely(tag, m[3]))
+        attributes = attributes_of(m[3]) if m[3].strip() else {}
+        node = Node(tag, at, tag in CUT or hidden(attributes))
+        if not node.cut and attributes and named_unlikely(tag, attributes):
+            node.cut = True
+            suspects.append(node)
         at.children.append(node)
         at = node
+    spare_wrappers(root, suspects)
     return root
 
 
@@ -125,36 +160,25 @@ def measure(root: Node) -> None:
         order.append(node)
         stack += [(c, linked) for c in node.children if isinstance(c, Node)]
     for node in reversed(order):
-        commas = 0
         for c in node.children:
             if isinstance(c, str):
                 n = len(c.strip())
                 node.chars += n
+                node.commas += c.count(",")
                 node.linked += n if links[id(node)] else 0
             elif not c.cut:
                 node.chars += c.chars
+                node.commas += c.commas
                 node.linked += c.linked
+                node.total += c.total
         direct = any(isinstance(c, str) and c.strip() for c in node.children)
-        if node.tag in PARAGRAPH or (direct and node.tag in BLOCK):
-            if node.chars:
-                commas = sum(text.count(",") for text in _texts(node))
-                points = (1 + commas + min(3.0, node.chars / 100)) * (1 - node.linked / node.chars)
-                holder = node.parent or node
-                if direct and node.tag not in PARAGRAPH:
-                    holder = node
-                holder.points += points
-                if holder.parent is not None:
-                    holder.parent.points += points / 2
-
-
-def _texts(node: Node) -> Iterator[str]:
-    stack: list[Node | str] = [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            yield x
-        elif not x.cut:
-            stack += reversed(x.children)
+        if node.chars and (node.tag in PARAGRAPH or (direct and node.tag in BLOCK)):
+            points = (1 + node.commas + min(3.0, node.chars / 100)) * (1 - node.linked / node.chars)
+            holder = node if direct and node.tag not in PARAGRAPH else node.parent or node
+            holder.points += points
+            node.total += points
+            if holder.parent is not None:
+                holder.parent.points += points / 2
 
 
 def density(node: Node) -> float:
@@ -173,18 +197,17 @@ def containers(root: Node) -> list[Node]:
         if score > top:
             best, top = node, score
         stack += [c for c in reversed(node.children) if isinstance(c, Node)]
-    node = best.parent
+    node = best
     while node is not None and node.tag not in HOLDERS:
         node = node.parent
-    if node is not None:
-        return [node]
-    if best.parent is None or best.tag in ("body", *HOLDERS):
+    best = node or best
+    if best.parent is None or best.tag == "body":
         return [best]
     out = []
     for c in best.parent.children:
         if not isinstance(c, Node) or c.cut:
             continue
-        good = c.points * (1 - density(c)) >= max(1.0, SIBLING_SHARE * top)
+        good = c.total * (1 - density(c)) >= max(1.0, SIBLING_SHARE * best.total)
         prose = c.tag in PARAGRAPH and density(c) < SIBLING_LINKS and (c.chars >= SIBLING_CHARS or c.tag[0] == "h" or c.tag == "p" and c.chars)
         if c is best or good or prose:
             out.append(c)
