@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import col, record, stored, text_slices, texts_of
+from tesselon.llm.common import col, free_name, record, stored, text_slices, texts_of
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: Address suffixes of one language.
@@ -39,6 +39,8 @@ DECLARED_RIGHT, SUFFIX_RIGHT = 0.9, 0.8
 #: Pseudo-counts of the next wider level in a host's and a suffix' prior.
 HOST_KAPPA, SUFFIX_KAPPA = 20.0, 100.0
 MIN_POSTERIOR = 0.5
+#: Hosts with at least the LARGE_HOSTS-th part of all rows, so as many at most, are joined by broadcast: no task holds all rows of one.
+LARGE_HOSTS = 1000
 #: Prior probability of no language.
 NO_LANGUAGE = 0.02
 
@@ -122,10 +124,10 @@ def identified(df: DataFrame, key: str = "doc_id", text: str = "text", declared:
 
     found = found.withColumn("suffix", suffix).withColumn("text_language", best(F.col("scores")))
     votes = [F.count(F.when(F.col("text_language") == name, 1)).cast("double").alias(f"n{k}") for k, name in enumerate(languages)]
-    hosts = stored(found.groupBy("host", "suffix").agg(*votes), "hosts")  # a row for each host
+    hosts = stored(found.groupBy("host", "suffix").agg(F.count("*").alias("rows"), *votes), "hosts")  # a row for each host
     sums = [F.sum(f"n{k}").alias(f"s{k}") for k in range(len(languages))]
     suffixes = hosts.groupBy("suffix").agg(*sums)
-    whole = hosts.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0.0)) for k in range(len(languages))]).first()
+    *whole, n_rows = hosts.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0.0)) for k in range(len(languages))], F.coalesce(F.sum("rows"), F.lit(0))).first()
     total = sum(whole) + len(languages)
     prior = hosts.join(suffixes, "suffix")
     n, s = (sum((F.col(f"{x}{k}") for k in range(len(languages))), F.lit(0.0)) for x in "ns")
@@ -133,7 +135,7 @@ def identified(df: DataFrame, key: str = "doc_id", text: str = "text", declared:
     for k in range(len(languages)):
         wide = (F.col(f"s{k}") + SUFFIX_KAPPA * (whole[k] + 1.0) / total) / (s + SUFFIX_KAPPA)
         logs.append(F.log((1 - NO_LANGUAGE) * (F.col(f"n{k}") + HOST_KAPPA * wide) / (n + HOST_KAPPA)))
-    prior = stored(prior.select("host", F.array(*logs, F.log(F.lit(NO_LANGUAGE))).alias("prior")), "priors")
+    prior = stored(prior.select("host", (F.col("rows") * LARGE_HOSTS >= F.lit(n_rows)).alias("large"), F.array(*logs, F.log(F.lit(NO_LANGUAGE))).alias("prior")), "priors")
 
     def likelihood(known: Column, means: Column, right: float, name: str) -> Column:
         if not name:
@@ -141,7 +143,8 @@ def identified(df: DataFrame, key: str = "doc_id", text: str = "text", declared:
         wrong = (1 - right) / max(1, len(languages) - 1)
         return F.when(known, F.log(F.when(means == name, right).otherwise(wrong))).otherwise(0.0)
 
-    joined = found.join(prior, "host")
+    large = F.broadcast(prior.where("large").drop("large"))  # LARGE_HOSTS rows at most
+    joined = found.join(large, "host").unionByName(found.join(F.broadcast(prior.where("large").select("host")), "host", "left_anti").join(prior.where("NOT large").drop("large"), "host"))
     belongs = F.lit(None).cast("string")
     for name, language in SUFFIXES.items():
         belongs = F.when(F.col("suffix") == name, language).otherwise(belongs)
@@ -157,6 +160,7 @@ def identified(df: DataFrame, key: str = "doc_id", text: str = "text", declared:
 def kept(df: DataFrame, key: str = "doc_id", text: str = "text", declared: str = "lang", host: str = "source") -> DataFrame:
     """The rows of ``df`` that are accepted, with their columns; rows of equal id and text share their fate."""
     verdicts = identified(df, key, text, declared, host)
-    gone = stored(verdicts.where("NOT accepted").select(col(key).alias("__key"), F.col("dig").alias("__dig")).distinct(), "rejected")
-    same = col(key).cast("long").eqNullSafe(F.col("__key")) & (F.xxhash64(F.coalesce(col(text).cast("string"), F.lit(""))) == F.col("__dig"))
+    k, d = free_name(df, "rejected_key"), free_name(df, "rejected_dig")
+    gone = stored(verdicts.where("NOT accepted").select(col(key).alias(k), F.col("dig").alias(d)).distinct(), "rejected")
+    same = col(key).cast("long").eqNullSafe(F.col(k)) & (F.xxhash64(F.coalesce(col(text).cast("string"), F.lit(""))) == F.col(d))
     return df.join(gone, same, "left_anti")
