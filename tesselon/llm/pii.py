@@ -6,11 +6,14 @@ method adds must also reach a score.
 
 Positions are code points, ends exclusive. Null texts count as empty and have no spans; repeated rows each give a
 row. The expressions use possessive loops and start only where a run of their characters starts, so a very long
-run costs time in proportion and no stack.
+run costs time in proportion and no stack. Texts are cut at the matches once; places are running sums over the pieces,
+kept in groups, so a text with very many spans costs little more than in proportion.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +28,7 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL = r"(?<![0-9+-])(?:\([0-9]{3}\) |[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])"
 
-#: Words whose presence shortly before a span raises its score, by kind.
+#: Words whose presence shortly before or after a span raises its score, by kind.
 CONTEXT = {
     "email": "mail|contact|write|reach",
     "ip": "ip|address|host|server|login",
@@ -42,6 +45,8 @@ PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn":
 CONTEXT_GAIN, NEEDED, CONTEXT_CHARS = 0.3, 0.6, 40
 #: Spans whose lengths are added up in one go; sums over such groups keep the cost of a text with many spans near linear.
 GROUP = 64
+#: Code points of the chunks that masked texts are cut into, small ones from large ones: a cut walks its text from the start.
+CHUNK, CHUNKS = 1 << 10, 64
 
 _SPAN = "struct<kind:string,start:int,end:int,score:double>"
 
@@ -76,29 +81,55 @@ def _valid(kind: str, match: Column) -> Column:
     }[kind]()
 
 
-def _total(sizes: Column) -> Column:
-    return F.aggregate(sizes, F.lit(0), lambda acc, x: acc + x)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body's own loops use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda acc, x: acc + x)
+
+
+def _most(values: Column) -> Column:
+    return F.coalesce(F.array_max(values), F.lit(0))
+
+
+def _before(values: Column, total: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    """For each value the total of those before it: of whole groups first, then within its own group."""
+    groups = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(values) - 1, F.lit(0)) / GROUP).cast("int")), lambda g: F.slice(values, g * GROUP + 1, F.lit(GROUP)))
+
+    def within(group: Column, base: Column) -> Column:
+        return F.transform(group, lambda _, i: join(base, total(F.slice(group, F.lit(1), i))))
+
+    def filled(gs: Column) -> Column:
+        return let(F.transform(gs, total), lambda sums: F.flatten(F.transform(gs, lambda g, k: let(total(F.slice(sums, F.lit(1), k)), lambda base: within(g, base)))))
+
+    return let(groups, filled)
+
+
+def _located(text: Column, rule: str) -> Column:
+    """(m, s, near) of all matches: what matched, where it starts, and up to CONTEXT_CHARS on either side of it."""
 
+    def placed(m: Column, p: Column) -> Column:
+        def near(i: Column) -> Column:
+            back = F.when(i > 0, F.concat(F.right(F.get(p, i - 1), F.lit(CONTEXT_CHARS)), F.get(m, i - 1))).otherwise("")
+            return F.concat_ws(" \n ", F.right(F.concat(back, F.get(p, i)), F.lit(CONTEXT_CHARS)), F.left(F.get(p, i + 1), F.lit(CONTEXT_CHARS)))
 
-def _starts(between: Column, found: Column) -> Column:
-    """Start of each match, from the lengths of the pieces between matches and of the matches."""
-    steps = F.transform(found, lambda n, i: F.get(between, i) + n)
-    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / GROUP).cast("int")), lambda g: F.slice(steps, g * GROUP + 1, F.lit(GROUP)))
-    sums = F.transform(groups, _total)
-    before = F.transform(groups, lambda _, g: _total(F.slice(sums, F.lit(1), g)))
-    within = F.transform(groups, lambda g: F.transform(g, lambda _, i: _total(F.slice(g, F.lit(1), i))))
-    starts = F.zip_with(within, before, lambda g, n: F.transform(g, lambda x: x + n))
-    return F.zip_with(F.flatten(starts), F.slice(between, F.lit(1), F.size(found)), lambda x, n: x + n)
+        def built(starts: Column) -> Column:
+            return F.transform(m, lambda x, i: F.struct(x.alias("m"), (F.get(starts, i) + F.length(F.get(p, i))).alias("s"), near(i).alias("near")))
 
+        sizes = F.transform(m, lambda x, i: F.length(F.get(p, i)) + F.length(x))
+        return let(let(sizes, lambda steps: _before(steps, _sum, lambda a, b: a + b)), built)
 
-def _confirmed(kind: str, text: Column, proposed: Column) -> Column:
+    return let(F.regexp_extract_all(text, F.lit(rule), F.lit(0)), lambda m: let(F.split(text, rule, -1), lambda p: placed(m, p)))
+
+
+def _confirmed(kind: str, proposed: Column) -> Column:
     """The proposed spans of a kind that its validator confirms, scored; added kinds by score too."""
 
     def scored(x: Column) -> Column:
-        start = x["s"]
-        near = F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS)))
-        score = F.lit(PRIOR[kind]) + F.when(near.rlike(f"(?i)\\b(?:{CONTEXT[kind]})"), CONTEXT_GAIN).otherwise(0.0)
-        return F.struct(F.lit(kind).alias("kind"), start.cast("int").alias("start"), (start + F.length(x["m"])).cast("int").alias("end"), F.least(F.lit(1.0), score).alias("score"))
+        score = F.lit(PRIOR[kind]) + F.when(x["near"].rlike(f"(?i)\\b(?:{CONTEXT[kind]})"), CONTEXT_GAIN).otherwise(0.0)
+        return F.struct(F.lit(kind).alias("kind"), x["s"].cast("int").alias("start"), (x["s"] + F.length(x["m"])).cast("int").alias("end"), F.least(F.lit(1.0), score).alias("score"))
 
     spans = F.transform(F.filter(proposed, lambda x: _valid(kind, x["m"])), scored)
     return F.filter(spans, lambda x: x["score"] >= NEEDED) if kind in ADDED else spans
@@ -112,18 +143,10 @@ def find_spans(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
     body = F.coalesce(col(text).cast("string"), F.lit(""))
     raw = "__tesselon_pii_text"
     found = df.withColumn(raw, F.when(body.rlike("[0-9@]"), body))
-    none = F.array().cast("array<string>")
     for kind in rules:
         found = found.withColumn(f"__tesselon_has_{kind}", F.coalesce(F.col(raw).rlike(likely[kind]), F.lit(False)))
-    for kind, rule in rules.items():
-        found = found.withColumn(f"__tesselon_m_{kind}", F.when(F.col(f"__tesselon_has_{kind}"), F.regexp_extract_all(F.col(raw), F.lit(rule), F.lit(0))).otherwise(none))
-    for kind, rule in rules.items():
-        m = F.col(f"__tesselon_m_{kind}")
-        found = found.withColumn(f"__tesselon_b_{kind}", F.when(F.size(m) > 0, F.transform(F.split(F.col(raw), rule, -1), F.length)))
-    for kind in rules:
-        m, b = F.col(f"__tesselon_m_{kind}"), F.col(f"__tesselon_b_{kind}")
-        found = found.withColumn(f"__tesselon_s_{kind}", F.when(F.size(m) > 0, F.zip_with(m, _starts(b, F.transform(m, F.length)), lambda x, y: F.struct(x.alias("m"), y.alias("s")))))
-    parts = [F.when(F.col(f"__tesselon_s_{kind}").isNotNull(), _confirmed(kind, F.col(raw), F.col(f"__tesselon_s_{kind}"))).otherwise(F.array().cast(f"array<{_SPAN}>")) for kind in rules]
+    none = F.array().cast(f"array<{_SPAN}>")
+    parts = [F.when(F.col(f"__tesselon_has_{kind}"), _confirmed(kind, _located(F.col(raw), rule))).otherwise(none) for kind, rule in rules.items()]
     return found.withColumn(out, F.concat(*parts)).select(*[col(c) for c in kept], out)
 
 
@@ -144,19 +167,36 @@ def report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return found.select(key, *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"), F.array_max(F.transform(spans, lambda x: x["score"])).alias("top_score"))
 
 
+def _chunks(text: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / size).cast("int")), lambda k: F.substring(text, k * size + 1, F.lit(size)))
+
+
+def _cut(chunks: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end``, from its chunks."""
+
+    def part(k: Column) -> Column:
+        low = F.greatest(start - k * CHUNK, F.lit(0))
+        return F.substring(F.get(chunks, k), low + 1, F.least(end - k * CHUNK, F.lit(CHUNK)) - low)
+
+    ks = F.sequence(F.floor(start / CHUNK).cast("int"), F.floor((end - 1) / CHUNK).cast("int"))
+    return F.when(end > start, F.array_join(F.transform(ks, part), "")).otherwise("")
+
+
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span, or run of overlapping spans, replaced by its first kind in angle brackets."""
     ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    done = F.aggregate(
-        ordered,
-        start,
-        lambda acc, x: F.when(x["start"] < acc["at"], F.struct(acc["out"].alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))).otherwise(
-            F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("out"), x["end"].alias("at"))
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+    def done(xs: Column, ends: Column, chunks: Column) -> Column:
+        runs = F.filter(F.transform(xs, lambda x, i: F.struct(F.get(ends, i).alias("at"), x["start"].alias("start"), x["kind"].alias("kind"))), lambda x: x["start"] >= x["at"])
+        shown = F.transform(runs, lambda x: F.concat(_cut(chunks, x["at"], x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+        return F.concat(F.array_join(shown, ""), _cut(chunks, F.array_max(F.transform(xs, lambda x: x["end"])), F.length(text)))
+
+    def with_ends(xs: Column) -> Column:
+        ends = let(F.transform(xs, lambda x: x["end"]), lambda e: _before(e, _most, lambda a, b: F.greatest(a, b)))
+        pieces = let(_chunks(text, CHUNK * CHUNKS), lambda big: F.flatten(F.transform(big, lambda x: _chunks(x, CHUNK))))
+        return let(ends, lambda e: let(pieces, lambda c: done(xs, e, c)))
+
+    return F.when(F.size(spans) > 0, let(ordered, with_ends)).otherwise(text)
 
 
 def masked(df: DataFrame, text: str = "text", chars: str | None = "n_chars") -> DataFrame:
