@@ -52,6 +52,34 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored tables of one job by name, for dropping as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, list[str]] = {}
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        """As stored()."""
+        small_batches(self.spark)
+        path = scratch_path(self.spark, name)
+        self.paths.setdefault(name, []).append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Deletes the tables of these names, all but those stored later on."""
+        for name in names:
+            for path in self.paths.pop(name, []):
+                dropped(self.spark, path)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def released() -> None:
     """Gives freed memory back to the system: a worker process lives on after its task."""
     pa.default_memory_pool().release_unused()

@@ -5,8 +5,8 @@ too short to hold a test phrase go too (they can't match). Over what stays stand
 by prefix doubling, ranks in the Burrows-Wheeler transform come from a wavelet matrix, all test phrases are searched
 backwards at once, occurrences are located by walking to sampled suffix positions, and the spans merged.
 
-The test items are a stated query set, cut into blocks of bounded size; each block is one more pass over the same
-rows, so their number does not limit the driver or the executors.
+The test items are a stated query set, cut into blocks of bounded size. Each block is one more pass over the same rows;
+between passes what was found is stored, and driver and executors hold one block at a time (and the driver the next).
 
 Null texts have no words; items without words match nothing; equal items all count; repeated documents each give a
 row; empty tables give no rows or rows without hits.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import col, free_name, text_slices
+from tesselon.llm.common import Scratch, col, free_name, text_slices
 
 #: Words of a phrase.
 WINDOW = 8
@@ -196,9 +196,17 @@ def matches(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key: s
     """``df`` with the struct ``hits``, by that or the given name: n_words, spans (start, end, start, end ... in words, merged), items (ids, sorted as strings)."""
     spark = df.sparkSession
     out = df.withColumn(hits, F.lit(None).cast(f"struct<{_HITS.replace(' ', ':').replace(',:', ',')}>"))
-    for block in list(blocks_of(benchmark, item_key, item_text)) or [[]]:
-        out = _one_pass(out, spark.sparkContext.broadcast(block), text, hits)
-    return out
+    keep, blocks = Scratch(spark), blocks_of(benchmark, item_key, item_text)
+    block, n = next(blocks, []), 0
+    while True:
+        given, after = spark.sparkContext.broadcast(block), next(blocks, None)
+        out = _one_pass(out, given, text, hits)
+        if after is None:
+            return out
+        out = keep(out, f"hits-{n}")  # so that the next block takes this one's place on driver and executors
+        given.unpersist(blocking=False)
+        keep.drop(f"hits-{n - 1}")
+        block, n = after, n + 1
 
 
 def _one_pass(df: DataFrame, given, text: str, hits: str) -> DataFrame:
