@@ -30,7 +30,7 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.deduplicated(documents(spark, sf_dir)).drop("spans")
+    return substring_dedup.deduplicated(documents(spark, sf_dir)).drop("spans", "factors")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

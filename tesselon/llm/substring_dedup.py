@@ -3,11 +3,15 @@
 A document is cut into blocks: each window of WINDOW words belongs to its anchor, the leftmost of its ANCHOR-word
 phrases with the smallest hash, and a block is what the windows of one anchor cover. Cuts depend on content alone,
 so equal windows of two documents lie at the same place of blocks with equal anchors. The reference index holds,
-by anchor, the block of the first document for each different block. A block that copies one of an earlier document
-whole is a factor of the parse, and its words are a duplicate span. Where an anchor has several different blocks,
-a first block is a factor boundary: there every window is looked up by itself among the windows of such blocks.
-So a window is found exactly if it starts in an earlier document too, however often, and only the words around
-boundaries are indexed one by one.
+by anchor, where each different block first stands: the first document and the place in it. The parse of a document
+goes from left to right. A block of the index gives a phrase (from, to, document, place there), and the phrase grows as
+long as the next block or window continues it at the next place of the same document; what can't be continued starts a
+new phrase. A factor is a phrase grown as far as it goes; one of WINDOW words or more, copied from an earlier document,
+is a duplicate span. Where an anchor has several different blocks, a document that holds one of them first is at a
+factor boundary there: every window around it is looked up by itself among the windows of such blocks. So a window is
+found exactly if it starts in an earlier document too, however often, and only the words around boundaries are indexed
+one by one. Factors are greedy along the first document that holds a phrase, not over all documents that hold it: for
+duplicate spans the two give the same words.
 
 Documents whose word sequence is that of an earlier one are copies as a whole and take no part in the parse.
 
@@ -109,46 +113,63 @@ def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield record(schema, found.hash[rows].view(np.int64), found.ranges(start, start + found.window).view(np.int64), keys[0][doc], keys[1][doc], found.place[rows].astype(np.int32))
 
 
+def factors_of(pieces: list[tuple[int, int, int, int]]) -> list[list[int]]:
+    """Greedy factors [first word, end, document, place there] from pieces of that form, each WINDOW words or more, in order of their first words."""
+    out: list[list[int]] = []
+    for lo, hi, doc, place in sorted(pieces):
+        if out and lo <= out[-1][1] and doc == out[-1][2] and place - lo == out[-1][3] - out[-1][0]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi, doc, place])
+    return out
+
+
+_CUT_SQL = "key long, n_words long, n_removed long, sha binary, spans array<int>, factors array<struct<from:int,to:int,doc:long,place:int>>"
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("sha", pa.binary()), ("spans", pa.list_(pa.int32()))])
+    factor = pa.struct([("from", pa.int32()), ("to", pa.int32()), ("doc", pa.int64()), ("place", pa.int32())])
+    schema = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("sha", pa.binary()), ("spans", pa.list_(pa.int32())), ("factors", pa.list_(factor))])
     for part in text_slices(batches):
         out = []
         for words, spans, starts in zip(split(part), part.column("spans").to_pylist(), part.column("starts").to_pylist(), strict=True):
-            gone = np.zeros(len(words) + 2, np.int32)
-            for x in spans:
-                if not x["open"]:
-                    gone[x["lo"]] += 1
-                    gone[x["hi"] + WINDOW] -= 1
-            for s in starts or ():
-                gone[s] += 1
-                gone[s + WINDOW] -= 1
-            gone = np.cumsum(gone[:-1]) > 0
+            found = [(x["lo"], x["hi"] + WINDOW, x["doc"], x["place"]) for x in spans if not x["open"]]
+            found = factors_of(found + [(x["at"], x["at"] + WINDOW, x["doc"], x["place"]) for x in starts or ()])
+            gone = np.zeros(len(words) + 1, np.int32)
+            for lo, hi, _, _ in found:
+                gone[lo] += 1
+                gone[hi] -= 1
+            gone = np.cumsum(gone) > 0
             edges = np.flatnonzero(np.diff(np.append(False, gone)))
             kept = [w for w, g in zip(words, gone.tolist(), strict=False) if not g]
-            out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).digest(), edges.tolist()))
+            out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).digest(), edges.tolist(), [dict(zip(("from", "to", "doc", "place"), x, strict=True)) for x in found]))
         yield record(schema, part.column("key"), *[list(x) for x in zip(*out, strict=True)])
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, n_removed, kept_sha256, spans) of every row; spans: start, end, start, end ... of removed words."""
+    """(key, n_words, n_removed, kept_sha256, spans, factors) of every row.
+
+    spans: start, end, start, end ... of removed words; factors: from, to, the document they copy and the place there.
+    """
     docs = stored(parsed(df, key, text), "rlz-docs")
     blocks = docs.where("key IS NOT NULL").select("key", "dig", F.explode("blocks").alias("b")).select("b.*", "key", "dig")
     twins = stored(docs.groupBy("sha").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("sha", "first"), "rlz-twins")
-    docs = docs.select("key", "dig", "n_words", "sha").join(twins, "sha", "left").withColumn("copy", F.coalesce(F.col("key") > F.col("first"), F.lit(False)))
+    docs = docs.select("key", "dig", "n_words", "sha").join(twins.select("sha", "first"), "sha", "left").withColumn("copy", F.coalesce(F.col("key") > F.col("first"), F.lit(False)))
     copies = stored(docs.where("copy").select("key", "dig").distinct(), "rlz-copies")
     shared = stored(blocks.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z").select("h"), "rlz-anchors")
     held = stored(blocks.join(shared, "h"), "rlz-blocks")
-    several = held.groupBy("h").agg(F.min("ctx").alias("a"), F.max("ctx").alias("z")).where("a < z").select("h", F.lit(True).alias("several"))
-    index = stored(held.groupBy("h", "ctx").agg(F.min("key").alias("first")).join(several, "h", "left"), "rlz-index")
-    factors = held.join(index, ["h", "ctx"]).where("key > first OR several").select("key", "dig", F.struct("lo", "hi", (F.col("key") == F.col("first")).alias("open")).alias("span"))
+    firsts = stored(held.groupBy("h", "ctx").agg(F.min(F.struct("key", "lo")).alias("first")), "rlz-firsts")
+    several = stored(firsts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.lit(True).alias("several")), "rlz-several")
+    index = stored(firsts.join(several, "h", "left").select("h", "ctx", F.col("first.key").alias("doc"), F.col("first.lo").alias("place"), "several"), "rlz-index")
+    factors = held.join(index, ["h", "ctx"]).where("key > doc OR several").select("key", "dig", F.struct("lo", "hi", (F.col("key") == F.col("doc")).alias("open"), "doc", "place").alias("span"))
     factors = factors.join(copies, ["key", "dig"], "left_anti").groupBy("key", "dig").agg(F.collect_list("span").alias("spans"))  # as many as a document has blocks at most
     body = F.coalesce(col(text).cast("string"), F.lit(""))
     texts = df.select(col(key).cast("long").alias("key"), F.xxhash64(body).alias("dig"), body.alias("text"))
     touched = stored(texts.join(factors, ["key", "dig"]), "rlz-touched")
     windows = stored(touched.where(F.exists("spans", lambda x: x["open"])).select("key", "dig", "text", "spans").mapInArrow(_open_windows, "h long, w long, key long, dig long, at int"), "rlz-windows")
-    first = stored(windows.groupBy("h", "w").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z").select("h", "w", "a"), "rlz-first")
-    starts = windows.join(first, ["h", "w"]).where("key > a").groupBy("key", "dig").agg(F.collect_set("at").alias("starts"))
-    cut = touched.join(starts, ["key", "dig"], "left").select("key", "text", "spans", "starts").mapInArrow(_cut, "key long, n_words long, n_removed long, sha binary, spans array<int>")
+    first = stored(windows.groupBy("h", "w").agg(F.min(F.struct("key", "at")).alias("a"), F.max("key").alias("z")).where("a.key < z").select("h", "w", F.col("a.key").alias("doc"), F.col("a.at").alias("place")), "rlz-first")
+    starts = windows.join(first, ["h", "w"]).where("key > doc").groupBy("key", "dig").agg(F.collect_set(F.struct("at", "doc", "place")).alias("starts"))
+    cut = touched.join(starts, ["key", "dig"], "left").select("key", "text", "spans", "starts").mapInArrow(_cut, _CUT_SQL)
     whole = F.col("copy") & (F.col("n_words") >= WINDOW)
     nothing = F.unhex(F.sha2(F.lit("").cast("binary"), 256))
     rest = docs.join(touched.select("key", "dig").distinct(), ["key", "dig"], "left_anti").select(
@@ -157,5 +178,6 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         F.when(whole, F.col("n_words")).otherwise(0).alias("n_removed"),
         F.when(whole, nothing).otherwise(F.col("sha")).alias("sha"),
         F.when(whole, F.array(F.lit(0), F.col("n_words").cast("int"))).otherwise(F.array().cast("array<int>")).alias("spans"),
+        F.when(whole, F.array(F.struct(F.lit(0).alias("from"), F.col("n_words").cast("int").alias("to"), F.col("first").alias("doc"), F.lit(0).alias("place")))).otherwise(F.array()).cast("array<struct<from:int,to:int,doc:long,place:int>>").alias("factors"),
     )
-    return cut.unionByName(rest).select(F.col("key").alias(key), "n_words", "n_removed", F.lower(F.hex("sha")).alias("kept_sha256"), "spans")
+    return cut.unionByName(rest).select(F.col("key").alias(key), "n_words", "n_removed", F.lower(F.hex("sha")).alias("kept_sha256"), "spans", "factors")
