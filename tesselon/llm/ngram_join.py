@@ -1,57 +1,60 @@
 """N-gram Jaccard join: exact links between sets of word shingles, as components.
 
-Equal sets form one class, and only classes are compared. A set's shingles have an order, rarest words first and
-shingles known to be frequent last, and its index entries are the first ones of it: so many that linked sets share
-at least SLACK of the set's size. Index lists hold, by shingle and size band, the sets with that entry; a set with
-fewer shared entries than that is skipped. Lists are never crossed with themselves. In each list the smallest set
-leads, and every other set is compared with the leader. A set's links to the other sets of the list then derive
-from the leader's answer: sets linked to the leader are of one component and need no comparison with each other; a
-set that is not can only link another one through shingles in which both differ from the leader, so only these
-differences (of sets close to the leader), or the first of what the leader lacks (of others), form the lists of the
-next round. Lists whose sets are all of one component are skipped whole.
-
-The sets that such lists hold together form clusters. A cluster of bounded size is settled at once in one task: an
-inverted index over its sets gives each set's common shingles with all others, starting from the components known
-so far, and the sets of the largest component need no look-up of their own. Larger clusters go through further
-rounds until they are small enough. Lists lose their leader each round, so rounds do end; pairs are never made
-within a list but with its leader.
-
-Why no link is lost: let X and Y link, both in a list led by L, |L| <= |X|, |Y|, and X not linked to L. If both
-share at least their own threshold share with L, then with D the symmetric differences to L, disjoint DX and DY
-would give |DX| + |DY| <= c (|X| + |Y|), c = (1 - t) / (1 + t), while |DX| > c (|X| + |L|) and |DY| >= |Y| - |L|,
-a contradiction; so they share an element of D. If X shares less with L, at least ceil(t |X|) - |X & L| >= 1 common
-shingles lie outside L, which the prefix filter over X - L finds.
+Equal sets form one class, and only classes are compared. A set's shingles have an order, rare ones first, and its
+index entries are the first ones of it: so many that linked sets share one. How rare a shingle is comes from two count
+sketches of fixed size over all documents, one of shingles and one of words; where the former is too full to tell
+rare ones apart, the latter does. An order that is wrong costs time and loses no link.
+
+Skipping by position: an entry at place p of a set of n shingles can be the first common one of sets with at most
+``reach`` = (n - p) (1 + t) / t - n shingles. So a list falls into blocks: entries that reach their own size, which
+alone can be the smaller one of a pair, and the others, which only look for smaller sets. A list without the former
+is skipped, so is an entry of the latter that does not reach the list's smallest set, and so is any pair of which one
+does not reach the other.
+
+Skipping by answers: first each list's smallest set is compared with the others of the list. From then on sets of one
+component need no comparison with each other, so a list whose sets are all of one component is closed. In an open one,
+sets outside its largest component lead: about LEADERS of them (twice as many in each further round), drawn by a hash of
+the id and so the same in many lists, are compared with the list's sets of other components and leave the list. Their
+answers derive from what the first round computed for the list's smallest set L: which shingles of L a set lacks, as a
+bitmap, and which others it has, hashed to EXTRA_BITS bits. X and Y have |L| - |lacked by X or Y| of L's shingles in common,
+exactly, and at most as many others as bits in common and collisions tell; pairs for which the sum is too small are
+skipped, as nearly all pairs of sets that differ from L in places of their own are. Rounds end when no list is open,
+after as many as doubling takes to reach the longest list's number of sets outside its largest component, at most.
+
+Nothing is gathered by list but counts; pairs of a list are made with its leaders alone. Lists of frequent shingles
+arise only from sets that have no rarer ones, such as copies, which are of one component after the first round.
 
 Null texts and texts without words have the empty set and link with nothing. A null id has no component. Rows with
-one id count as one document: the links of each are the id's. An empty table gives no rows.
+one id and different texts: the links of each are the id's, except where the text is that of a smaller id; then the row
+has that one's component. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import col, record, stored, text_slices
+from tesselon.llm.common import Scratch, col, free_name, record, text_slices
 from tesselon.llm.components import components
 from tesselon.llm.hashing import Ranges, WordHashes, mixed
 
 SIZE = 4
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 85
-#: Entries that linked sets share at least, as a part of a set's size; more lets more sets be skipped but makes more entries.
-SLACK = 0.03
-#: Rows, in expectation, that tell which words and shingles are frequent, and how often such ones are seen. This affects speed alone.
-SAMPLE_DOCS, FREQUENT_WORD, FREQUENT = 3000, 4, 3
-#: Ids that are sent to all executors at most; more are joined by a shuffle.
+#: Sets of a list that lead it in the second round.
+LEADERS = 16
+#: Counters of the sketches of shingles and of words, as powers of two, and those of one row of a sketch.
+SHINGLE_BITS, WORD_BITS, CHUNK_BITS = 22, 20, 16
+#: Bits that stand for the shingles of a set that a list's smallest set lacks.
+EXTRA_BITS = 1024
+#: Ids or lists that are sent to all executors at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Shingles of all sets of a cluster that one task takes on; larger clusters go through more rounds first.
-CLUSTER_SHINGLES = 1_000_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SETS = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("prefix", pa.list_(pa.int64()))])
@@ -62,46 +65,33 @@ def needed(n: int, percent: int) -> int:
     return (percent * n + 99) // 100
 
 
-def slack(n: int) -> int:
-    return max(1, int(SLACK * n))
-
-
-class Table:
-    """Values of some 64-bit keys, 0 for others."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order].astype(np.float64)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.values[at], 0.0)
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(_LOWER).split()
 
 
 class Shingler:
     """Shingle sets of texts: sorted hashes, and the place of each in the order of entries."""
 
-    def __init__(self, size: int, words: Table | None = None, often: Table | None = None):
-        self.size, self.words, self.often = size, words, often
+    def __init__(self, size: int, sketches: tuple[np.ndarray, np.ndarray] | None = None):
+        self.size, self.sketches = size, sketches
         self.hashes = WordHashes()
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        docs = [(t or "").encode().translate(_LOWER).split() for t in texts]
+    def flat(self, texts: list[str | None]) -> tuple[list[int], np.ndarray, Ranges]:
+        """Word counts of the texts, hashes of all words, and of their ranges."""
+        docs = [words_of(t) for t in texts]
         h = self.hashes.of([w for words in docs for w in words])
-        ranges = Ranges(h)
-        grams = ranges.grams(self.size)
-        if self.words is not None and len(grams):
-            weight = self.words(h)
-            score = sum(weight[k : k + len(grams)] for k in range(self.size))
-            seen = self.often(grams)
-            score = np.where(seen > 0, 800 + np.minimum(seen, 200), np.minimum(score, 800))
-            place = (score * 64).astype(np.uint64) << np.uint64(48) | grams >> np.uint64(16)
-        else:
-            place = grams
+        return [len(words) for words in docs], h, Ranges(h)
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        sizes, h, ranges = self.flat(texts)
+        place = grams = ranges.grams(self.size)
+        if self.sketches is not None and len(grams):
+            seen, words = self.sketches
+            weight = words[(h >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
+            score = sum(weight[k : k + len(grams)].astype(np.uint64) for k in range(self.size))
+            place = seen[(grams >> np.uint64(64 - SHINGLE_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(48) | score << np.uint64(32) | (grams & np.uint64(0xFFFFFFFF))
         out, end = [], 0
-        for n in map(len, docs):
+        for n in sizes:
             end += n
             if n >= self.size:
                 items, first = np.unique(grams[end - n : end - self.size + 1], return_index=True)
@@ -114,49 +104,64 @@ class Shingler:
         return out
 
 
-def head(items: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
-    """The first ``n`` items of the order."""
-    return items if n >= len(items) else items[np.argpartition(place, n)[:n]]
+def packed(counts: np.ndarray) -> bytes:
+    """Counters compressed, byte by byte of their size: most have only the lowest one."""
+    return zlib.compress(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
-def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(col(key).cast("long").alias("key"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()
+
 
+def sketched(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of shingles and of words by the top bits of their hashes: growing with their number in all texts.
 
-def frequent(texts: DataFrame, size: int) -> tuple[Table, Table]:
-    """Words and shingles that are frequent in about SAMPLE_DOCS different texts; words with the logarithm of their count."""
-    rows = texts.select("key").count()
-    share = min(1.0, SAMPLE_DOCS / max(1, rows))
-    schema = pa.schema([("kind", pa.int32()), ("s", pa.int64())])
+    A task sends its counters compressed; the merged ones are of fixed size, whatever the table's.
+    """
+    shingles, words = 1 << SHINGLE_BITS, 1 << WORD_BITS
+    chunk = 1 << CHUNK_BITS
+    schema = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(size)
+        counts = np.zeros(shingles + words, np.int64)
         for part in text_slices(batches):
-            texts = part.column("text").to_pylist()
-            sets = [s for s, _ in make(texts)]
-            words = [make.hashes.of(list(set((t or "").encode().translate(_LOWER).split()))) for t in texts]
-            kinds = [0] * sum(map(len, sets)) + [1] * sum(map(len, words))
-            yield record(schema, kinds, np.concatenate([*sets, *words]).view(np.int64))
-
-    sample = texts.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["text"])
-    found = sample.mapInArrow(run, "kind int, s long").groupBy("kind", "s").count()
-    found = found.where(F.col("count") >= F.when(F.col("kind") == 0, FREQUENT).otherwise(FREQUENT_WORD)).toPandas()
-    tables = []
-    for kind in (1, 0):
-        rows = found[found["kind"] == kind]
-        counts = rows["count"].to_numpy(float)
-        tables.append(Table(rows["s"].to_numpy(np.int64).view(np.uint64), np.log2(counts) if kind else counts))
-    return tables[0], tables[1]
-
-
-def sets_of(texts: DataFrame, size: int, percent: int, tables) -> DataFrame:
+            _, h, ranges = make.flat(part.column("text").to_pylist())
+            for values, bits, shift in ((ranges.grams(size), SHINGLE_BITS, 0), (h, WORD_BITS, shingles)):
+                np.add.at(counts, (values >> np.uint64(64 - bits)).astype(np.int64) + shift, 1)
+        for k in range(0, len(counts), chunk):
+            if (part := counts[k : k + chunk]).any():
+                yield record(schema, [k // chunk], [packed(part)])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + unpacked(raw)
+        for k, counts in sums.items():
+            yield record(schema, [k], [packed(counts)])
+
+    counts = np.zeros(shingles + words, np.int64)
+    found = texts.select("text").mapInArrow(run, "chunk int, counts binary").repartition("chunk").mapInArrow(merge, "chunk int, counts binary")
+    for row in found.collect():  # (shingles + words) / chunk rows
+        counts[row["chunk"] * chunk : (row["chunk"] + 1) * chunk] = unpacked(row["counts"])
+    load = int(counts[:shingles].mean())  # what a counter holds besides the shingle asked for
+    seen = np.round(8 * np.log2(np.maximum(counts[:shingles] - load, 0) + 1)).astype(np.uint16)
+    return seen, np.round(64 * np.log2(counts[shingles:] + 1)).astype(np.uint16)
+
+
+def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(col(key).cast("long").alias("key"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
+
+
+def sets_of(texts: DataFrame, size: int, percent: int, sketches) -> DataFrame:
     """(key, n, sig, prefix) of every row; equal sets have equal sigs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(size, *tables.value)
+        make = Shingler(size, sketches.value)
         for part in text_slices(batches):
             sets = make(part.column("text").to_pylist())
-            heads = [head(s, place, len(s) - needed(len(s), percent) + slack(len(s))) if len(s) else s for s, place in sets]
+            heads = [s[np.argsort(place)[: len(s) - needed(len(s), percent) + 1]] if len(s) else s for s, place in sets]
             offsets = np.append(0, np.cumsum([len(h) for h in heads])).astype(np.int32)
             flat = np.concatenate(heads).view(np.int64)
             yield record(_SETS, part.column("key"), [len(s) for s, _ in sets], [hashlib.md5(s.tobytes()).digest() for s, _ in sets], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
@@ -164,154 +169,174 @@ def sets_of(texts: DataFrame, size: int, percent: int, tables) -> DataFrame:
     return texts.mapInArrow(run, "key long, n long, sig binary, prefix array<long>")
 
 
-_COMPARED = "lead long, key long, n long, linked boolean, need long, outside array<long>, missing array<long>"
+def bitmap(at: np.ndarray, size: int) -> np.ndarray:
+    """64-bit words in which the given bits are set."""
+    out = np.zeros(-(-size // 64) * 64, np.uint8)
+    out[at] = 1
+    return np.packbits(out, bitorder="little").view(np.int64)
+
 
+_COMPARED = "a long, b long, na long, nb long, common long, lacked array<long>, extra array<long>"
 
-def _comparing(size: int, percent: int, tables):
-    """Compares sets with their leaders: linked or not, and the shingles that lead to further links."""
-    items = pa.list_(pa.int64())
-    schema = pa.schema([("lead", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("need", pa.int64()), ("outside", items), ("missing", items)])
+
+def _comparing(size: int, derive: bool):
+    """Counts the common shingles of pairs of texts, and with ``derive`` tells what b lacks of a's and has besides; rows come by ``a``."""
+    words = pa.list_(pa.int64())
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("common", pa.int64()), ("lacked", words), ("extra", words)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(size, *tables.value)
-        leader: tuple[str, np.ndarray] = ("", np.empty(0, np.uint64))
+        make = Shingler(size)
+        lead: tuple[str | None, np.ndarray] = (None, np.empty(0, np.uint64))
         for part in text_slices(batches, limit=1 << 20):
             out = []
-            for (x, place), text in zip(make(part.column("text").to_pylist()), part.column("lead_text").to_pylist(), strict=True):
-                if text != leader[0]:  # rows come by leader
-                    leader = (text, make([text])[0][0])
-                lead = leader[1]
-                own = np.isin(x, lead, assume_unique=True, invert=True)
-                outside = x[own]
-                common = len(x) - len(outside)
-                linked = 100 * common >= percent * (len(x) + len(lead) - common)
-                short = needed(len(x), percent) - common
-                if short > 0:  # far from the leader
-                    more = min(short, slack(len(x)))
-                    out.append((len(x), linked, more, head(outside, place[own], len(outside) - short + more).view(np.int64), []))
-                else:
-                    out.append((len(x), linked, 1, outside.view(np.int64), np.setdiff1d(lead, x, assume_unique=True).view(np.int64)))
-            if out:
-                yield record(schema, part.column("lead"), part.column("key"), *[list(c) for c in zip(*out, strict=True)])
-
-    return run
-
-
-def cross_links(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between sets of different labels, enough to join all labels that links join."""
-    sizes = np.array([len(x) for x in sets], np.int64)
-    _, item = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(item, kind="stable")]
-    ends = np.cumsum(np.bincount(item))
-    starts = ends - np.bincount(item)
-    at = np.cumsum(sizes) - sizes
-    labels = np.unique(labels, return_inverse=True)[1]
-    out = []
-    for k in np.flatnonzero(labels != np.bincount(labels).argmax()).tolist():
-        mine = item[at[k] : at[k] + sizes[k]]
-        n = ends[mine] - starts[mine]
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[mine], n)
-        common = np.bincount(owner[place], minlength=len(sets))
-        linked = 100 * common >= percent * (sizes + sizes[k] - common)
-        for j in np.flatnonzero(linked & (labels != labels[k])).tolist():
-            if labels[j] != labels[k]:
-                out.append((k, j))
-                labels[labels == labels[j]] = labels[k]
-    return out
-
-
-def _settling(size: int, percent: int):
-    """All links of a cluster that its components lack."""
-
-    def run(table: pa.Table) -> pa.Table:
-        keys = table.column("key").to_pylist()
-        sets = [s for s, _ in Shingler(size)(table.column("text").to_pylist())]
-        found = cross_links(sets, table.column("comp").to_numpy(), percent)
-        return pa.table({"a": pa.array([keys[a] for a, _ in found], pa.int64()), "b": pa.array([keys[b] for _, b in found], pa.int64())})
+            for (x, _), text in zip(make(part.column("text").to_pylist()), part.column("lead_text").to_pylist(), strict=True):
+                if text != lead[0]:
+                    lead = (text, make([text])[0][0])
+                mine = np.isin(x, lead[1], assume_unique=True)
+                lacked = extra = None
+                if derive:
+                    lacked = bitmap(np.flatnonzero(np.isin(lead[1], x, assume_unique=True, invert=True)), len(lead[1]))
+                    extra = bitmap((x[~mine] % np.uint64(EXTRA_BITS)).astype(np.int64), EXTRA_BITS)
+                out.append((len(lead[1]), len(x), int(mine.sum()), lacked, extra))
+            yield record(schema, part.column("a"), part.column("b"), *[list(c) for c in zip(*out, strict=True)])
 
     return run
 
 
-def _led(entries: DataFrame, unlike: str) -> DataFrame:
-    """The entries (list, key, n, part, need ...) of lists in which ``unlike`` differs, with the smallest set as lead.
-
-    Sets with fewer such entries in a part than they need are left out.
-    """
-    leads = entries.groupBy("list").agg(F.min(F.struct("n", "key")).alias("lead"), F.min(unlike).alias("a"), F.max(unlike).alias("z")).where("a < z")
-    led = stored(entries.join(stored(leads.select("list", F.col("lead.key").alias("lead")), "set-leads"), "list").select("list", "key", "n", "part", "need", "lead"), "set-led")
-    enough = stored(led.groupBy("key", "part", "need").count().where("count >= need").select("key", "part"), "set-enough")
-    return led.join(enough, ["key", "part"])
-
-
-def _with_texts(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    keys = stored(keys.distinct(), "set-keys")
-    return stored(texts.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "key"), "set-texts")
+def _ones(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0).cast("long"), lambda acc, x: acc + F.bit_count(x))
+
+
+def _fits(na: Column, reach_a: Column, nb: Column, reach_b: Column, percent: int) -> Column:
+    """Whether two entries of a list can be the first common one of linked sets."""
+    return (nb <= reach_a) & (na <= reach_b) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+
+
+#: What the first round tells of a set and its list's smallest one: that one's size, what it lacks and what it has besides.
+KNOWN = ("na", "lacked", "extra")
+
+
+class Join:
+    """One run of the join: entries, lists, comparisons and labels."""
+
+    def __init__(self, texts: DataFrame, size: int, percent: int):
+        self.texts, self.size, self.percent = texts, size, percent
+        self.keep = Scratch(texts.sparkSession)
+
+    def held(self, sets: DataFrame) -> DataFrame:
+        """(s, key, n, reach) of the entries that other sets may meet, from the sets' entries."""
+        lists = sets.select(F.posexplode("prefix").alias("p", "s"), "key", "n")
+        lists = lists.select("s", "key", "n", F.expr(f"(n - p) * {100 + self.percent} div {self.percent} - n").alias("reach"))
+        smaller = F.col("reach") >= F.col("n")
+        shared = lists.groupBy("s").agg(F.count("*").alias("rows"), F.min(F.when(smaller, F.col("n"))).alias("least")).where("rows > 1 AND least IS NOT NULL")
+        shared = self.keep(shared.select("s", "least"), "set-shared")
+        found = self.keep(lists.join(shared, "s").where("reach >= least").select("s", "key", "n", "reach"), "set-held")
+        self.keep.drop("set-shared")
+        return found
+
+    def led(self, held: DataFrame) -> DataFrame:
+        """``held`` with the list's lead, its smallest set, whether the entry fits it, and the list's rows; lists without a chance go."""
+        leads = held.where("reach >= n").groupBy("s").agg(F.min(F.struct("n", "key", "reach")).alias("lead"))
+        rows = held.groupBy("s").agg(F.count("*").alias("rows")).where("rows > 1")
+        lead = F.col("lead")
+        fits = (F.col("key") != lead["key"]) & _fits(lead["n"], lead["reach"], F.col("n"), F.col("reach"), self.percent)
+        out = held.join(leads.join(rows, "s"), "s").withColumn("fits", fits)
+        return self.keep(out.where((F.col("rows") > 2) | fits).where(F.col("key") != lead["key"]).select("s", "key", "n", "reach", lead["key"].alias("lead"), "fits", "rows"), "set-led")
+
+    def near(self, keys: DataFrame) -> DataFrame:
+        """``keys``, sent to all executors where their number is bounded."""
+        return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+
+    def nodes(self, led: DataFrame) -> DataFrame:
+        keys = self.keep(led.select("key").union(led.select("lead")).distinct(), "set-keys")
+        return self.keep(self.texts.join(self.near(keys), "key", "left_semi"), "set-texts")
+
+    def compared(self, pairs: DataFrame, nodes: DataFrame, derive: bool = False) -> DataFrame:
+        """(a, b, na, nb, common, lacked, extra, linked) of pairs (a, b)."""
+        pairs = self.keep(pairs, "set-pairs")
+        lead = nodes.join(self.near(self.keep(pairs.select(F.col("a").alias("key")).distinct(), "set-leads")), "key").select(F.col("key").alias("a"), F.col("text").alias("lead_text"))
+        both = nodes.withColumnRenamed("key", "b").join(self.near(pairs), "b").join(lead, "a")
+        out = both.select("a", "b", "text", "lead_text").sortWithinPartitions("a").mapInArrow(_comparing(self.size, derive), _COMPARED)
+        return self.keep(out.withColumn("linked", 100 * F.col("common") >= self.percent * (F.col("na") + F.col("nb") - F.col("common"))), "set-compared")
+
+    def labels(self, compared: DataFrame, round_: int) -> DataFrame:
+        return components(compared.where("linked").select("a", "b"), self.keep, f"set-labels-{round_}")
+
+    def open_lists(self, held: DataFrame, labels: DataFrame) -> DataFrame:
+        """``held`` with comp, the list's largest component (most) and its number of other sets (others), of lists with several components."""
+        mine = held.join(labels.select(F.col("node").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        by = mine.groupBy("s", "comp").agg(F.count("*").alias("rows"))
+        lists = by.groupBy("s").agg(F.max(F.struct("rows", "comp")).alias("most"), F.sum("rows").alias("all"), F.count("*").alias("comps")).where("comps > 1")
+        lists = self.keep(lists.select("s", F.col("most.comp").alias("most"), (F.col("all") - F.col("most.rows")).alias("others")), "set-open-lists")
+        return self.keep(mine.join(self.near(lists), "s"), "set-open")
+
+    def further(self, leaders: DataFrame, now: DataFrame) -> DataFrame:
+        """Pairs of a list's leaders with its sets of other components that may link."""
+        x = self.keep(leaders.select("s", *[F.col(c).alias(f"{c}_x") for c in ("key", "n", "reach", "comp", "na", "lacked", "extra")]), "set-leaders")
+
+        def collisions(n: str, lacked: str, extra: str) -> Column:
+            return F.col(n) - (F.col("na") - _ones(F.col(lacked))) - _ones(F.col(extra))
+
+        of_lead = F.col("na") - _ones(F.zip_with("lacked", "lacked_x", lambda a, b: a.bitwiseOR(b)))
+        others = _ones(F.zip_with("extra", "extra_x", lambda a, b: a.bitwiseAND(b))) + F.least(collisions("n", "lacked", "extra"), collisions("n_x", "lacked_x", "extra_x"))
+        may = F.coalesce((100 + self.percent) * (of_lead + others) >= self.percent * (F.col("n") + F.col("n_x")), F.lit(True))  # not known of sets that did not fit the lead
+        fit = now.join(self.near(x), "s").where((F.col("comp") != F.col("comp_x")) & _fits(F.col("n"), F.col("reach"), F.col("n_x"), F.col("reach_x"), self.percent)).where(may)
+        return fit.select(F.least("key", "key_x").alias("a"), F.greatest("key", "key_x").alias("b")).distinct()
+
+    def run(self, sets: DataFrame) -> DataFrame:
+        """(node, comp) of all sets that link another one, from the classes' sets."""
+        led = self.led(self.held(sets))
+        nodes = self.nodes(led)
+        compared = self.compared(led.where("fits").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct(), nodes, derive=True)
+        labels = self.labels(compared, 0)
+        often = self.keep(compared.groupBy("a", "b").count().where("count > 1").select("a", "b"), "set-often")  # ids with several texts
+        once = compared.join(often, ["a", "b"], "left_anti").select(F.col("a").alias("lead"), F.col("b").alias("key"), *KNOWN)
+        first = self.open_lists(led.where("rows > 2").select("s", "key", "n", "reach", "lead"), labels)
+        held = first.join(once, ["lead", "key"], "left").select("s", "key", "n", "reach", *KNOWN)
+        compared = compared.drop(*KNOWN[1:])
+        leading, round_ = LEADERS, 0
+        while not (now := self.open_lists(held, labels)).isEmpty():
+            round_ += 1
+            drawn = F.pmod(F.xxhash64("key", F.lit(round_)), F.lit(1 << 20)) * F.col("others") < F.lit(leading << 20)
+            leads = (F.col("comp") != F.col("most")) & drawn
+            pairs = self.further(now.where(leads), now)
+            done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            compared = compared.unionByName(self.compared(pairs.join(done, ["a", "b"], "left_anti"), nodes).drop(*KNOWN[1:]))
+            labels = self.labels(compared, round_)
+            held = self.keep(now.where(~leads).select("s", "key", "n", "reach", *KNOWN), "set-rest")
+            leading *= 2
+        self.keep.drop("set-held", "set-led", "set-keys", "set-texts", "set-compared", "set-open", "set-open-lists", "set-often", "set-pairs", "set-leads", "set-leaders", "set-rest", *[f"set-labels-{k}" for k in range(round_)])
+        return labels
 
 
 def components_of(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id) of every row."""
     spark = df.sparkSession
     texts = _texts(df, key, text)
-    tables = spark.sparkContext.broadcast(frequent(texts, size))  # bounded by the sample
-    sets = stored(sets_of(texts, size, percent, tables), "sets")
-    twins = stored(sets.where("n > 0").groupBy("sig").agg(F.min("key").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("sig", "first"), "set-twins")
-    classes = sets.select("key", "n", "sig").join(twins, "sig", "left").select("key", "n", F.coalesce("first", "key").alias("rep"))
-    copies = stored(classes.where("key != rep").select("key").distinct(), "set-copies")
-
-    lists = sets.where("n > 0 AND key IS NOT NULL").select(F.explode("prefix").alias("s"), "key", "n")
-    shared = stored(lists.groupBy("s").count().where("count > 1").select("s"), "set-shared")
-    held = stored(lists.join(shared, "s"), "set-held")
-    need = F.greatest(F.lit(1), F.floor(F.col("n") * SLACK))
-    able = stored(held.groupBy("key", "n").count().where(F.col("count") >= need).select("key").join(copies, "key", "left_anti"), "set-able")
-    band = F.floor(F.log("n") / (1.001 * math.log(100 / percent)))
-    entries = held.join(able, "key").select("s", "key", "n", need.alias("need"), F.explode(F.array(band, band + 1)).alias("part"))
-    held = _led(stored(entries.select(F.xxhash64("s", "part").alias("list"), "key", "n", "part", "need"), "set-entries"), "key")
-
-    links = labels = nodes = None
-    while True:
-        pairs = stored(held.where("key != lead").select("lead", "key").distinct(), "set-pairs")
-        if nodes is None:
-            nodes = _with_texts(texts, pairs.select("key").union(pairs.select("lead")))
-        compared = pairs.join(nodes, "key").join(nodes.select(F.col("key").alias("lead"), F.col("text").alias("lead_text")), "lead")
-        compared = stored(compared.select("lead", "key", "text", "lead_text").sortWithinPartitions("lead").mapInArrow(_comparing(size, percent, tables), _COMPARED), "set-compared")
-        new = compared.where("linked").select(F.col("lead").alias("a"), F.col("key").alias("b"))
-        links = new if links is None else links.union(new)
-        labels = components(links)
-        comp = labels.select("node", "comp")
-        found = compared.join(comp.select(F.col("node").alias("key"), F.col("comp").alias("mine")), "key", "left").join(comp.select(F.col("node").alias("lead"), F.col("comp").alias("its")), "lead", "left")
-        found = stored(found.withColumn("mine", F.coalesce("mine", "key")).withColumn("its", F.coalesce("its", "lead")), "set-found")
-        leads = stored(found.groupBy("lead").agg(F.min("mine").alias("a"), F.max("mine").alias("z")).where("a < z").select("lead"), "set-open")
-        if leads.isEmpty():
-            break
-        going = found.join(leads, "lead").select("lead", "key", "n", "mine", "need", F.explode(F.concat(_tagged("outside", True), _tagged("missing", False))).alias("e"))
-        going = stored(going.select(F.xxhash64("lead", "e.s", "e.out").alias("list"), "key", "n", "mine", F.col("lead").alias("part"), "need"), "set-entries")
-        held = stored(_led(going, "mine"), "set-lists")
-        if held.isEmpty():
-            break
-        clusters = components(held.where("key != lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))).select(F.col("node").alias("key"), F.col("comp").alias("cluster"))
-        clusters = clusters.join(sets.select("key", "n").distinct(), "key")
-        small = stored(clusters.groupBy("cluster").agg(F.sum("n").alias("n")).where(F.col("n") <= CLUSTER_SHINGLES).select("cluster"), "set-clusters")
-        members = stored(clusters.join(small, "cluster").select("key", "cluster").distinct(), "set-members")
-        within = members.join(comp.select(F.col("node").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key")).join(nodes, "key")
-        found = within.groupBy("cluster").applyInArrow(_settling(size, percent), "a long, b long")
-        links = links.union(stored(found, "set-links"))
-        labels = components(links)
-        held = stored(held.join(members.select("key").distinct(), "key", "left_anti"), "set-lists")
-        if held.where("key != lead").isEmpty():
-            break
+    job = Join(texts, size, percent)
+    sketches = spark.sparkContext.broadcast(sketched(texts, size))  # of fixed size
+    sets = job.keep(sets_of(texts, size, percent, sketches), "sets")
+    twins = job.keep(sets.where("n > 0").groupBy("sig").agg(F.min("key").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("sig", "first"), "set-twins")
+    classes = job.keep(sets.select("key", "n", "sig").join(twins, "sig", "left").select("key", "n", F.coalesce("first", "key").alias("rep")), "set-classes")
+    firsts = sets.where("n > 0 AND key IS NOT NULL").join(twins, "sig", "left").where("first IS NULL OR first = key").select("key", "n", "prefix")
+    labels = job.run(firsts)
+    job.keep.drop("sets", "set-twins")
     out = classes.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "rep")).otherwise(F.col("key")).alias("component_id"))
-
-
-def _tagged(items: str, out: bool):
-    return F.transform(items, lambda x: F.struct(x.alias("s"), F.lit(out).alias("out")))
+    component = F.when(F.col("key").isNull(), None).when(F.col("n") > 0, F.coalesce("comp", "rep")).otherwise(F.col("key"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """One row of each component, the one of smallest id, with the columns of ``df``; rows with a null id all stay."""
-    found = components_of(df, key, text, size, percent)
-    gone = stored(found.where(col(key) != F.col("component_id")).select(col(key).alias("__key")).distinct(), "near-copies")
-    often = stored(found.groupBy(col(key).alias("__key")).agg(F.count("*").alias("__n")).where("__n > 1 AND __key IS NOT NULL").select("__key"), "repeated-ids")
-    mine = col(key).cast("long") == F.col("__key")
+    """One row of each component, the one of smallest id, with the columns of ``df``.
+
+    Rows with a null id all stay. Of rows with one id that stays, each different text stays once.
+    """
+    keep = Scratch(df.sparkSession)
+    found = components_of(df, key, text, size, percent).select(col(key).alias("k"), "component_id")
+    gone = keep(found.where("k != component_id").select("k").distinct(), "near-copies")
+    often = keep(found.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("rows")).where("rows > 1").select("k"), "repeated-ids")
+    mark = free_name(df, "repeated_id")
+    gone, often = (x.withColumnRenamed("k", mark) for x in (gone, often))
+    mine = col(key).cast("long") == F.col(mark)
     once = df.join(gone.union(often), mine, "left_anti")
-    return once.unionByName(df.join(often, mine, "left_semi").join(gone, mine, "left_anti").dropDuplicates([key]))
+    return once.unionByName(df.join(often, mine, "left_semi").join(gone, mine, "left_anti").dropDuplicates([key, text]))
