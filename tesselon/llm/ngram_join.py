@@ -14,7 +14,9 @@ does not reach the other.
 Skipping by answers: first each list's smallest set is compared with the others of the list. From then on sets of one
 component need no comparison with each other, so a list whose sets are all of one component is closed. In an open one,
 sets outside its largest component lead: about LEADERS of them (twice as many in each further round), drawn by a hash of
-the id and so the same in many lists, are compared with the list's sets of other components and leave the list. Their
+the id and so the same in many lists, are compared with the list's sets of other components: first with about PROBES of
+them, which links most that link any; leaders that are then still outside the largest component meet all others and
+leave the list. Their
 answers derive from what the first round computed for the list's smallest set L: which shingles of L a set lacks, as a
 bitmap, and which others it has, hashed to EXTRA_BITS bits. X and Y have |L| - |lacked by X or Y| of L's shingles in common,
 exactly, and at most as many others as bits in common and collisions tell; pairs for which the sum is too small are
@@ -49,12 +51,16 @@ SIZE = 4
 PERCENT = 85
 #: Sets of a list that lead it in the second round.
 LEADERS = 16
+#: Sets of a list that its leaders meet before they meet all.
+PROBES = 16
 #: Counters of the sketches of shingles and of words, as powers of two, and those of one row of a sketch.
 SHINGLE_BITS, WORD_BITS, CHUNK_BITS = 22, 20, 16
 #: Bits that stand for the shingles of a set that a list's smallest set lacks.
 EXTRA_BITS = 1024
 #: Ids or lists that are sent to all executors at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Leaders, with what is known of them (some 350 bytes each, more for long texts), that are.
+BROADCAST_LEADERS = 40_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SETS = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("prefix", pa.list_(pa.int64()))])
@@ -243,9 +249,9 @@ class Join:
         out = held.join(leads.join(rows, "s"), "s").withColumn("fits", fits)
         return self.keep(out.where((F.col("rows") > 2) | fits).where(F.col("key") != lead["key"]).select("s", "key", "n", "reach", lead["key"].alias("lead"), "fits", "rows"), "set-led")
 
-    def near(self, keys: DataFrame) -> DataFrame:
+    def near(self, keys: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
         """``keys``, sent to all executors where their number is bounded."""
-        return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+        return F.broadcast(keys) if keys.count() <= most else keys
 
     def nodes(self, led: DataFrame) -> DataFrame:
         keys = self.keep(led.select("key").union(led.select("lead")).distinct(), "set-keys")
@@ -267,7 +273,7 @@ class Join:
         mine = held.join(labels.select(F.col("node").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         by = mine.groupBy("s", "comp").agg(F.count("*").alias("rows"))
         lists = by.groupBy("s").agg(F.max(F.struct("rows", "comp")).alias("most"), F.sum("rows").alias("all"), F.count("*").alias("comps")).where("comps > 1")
-        lists = self.keep(lists.select("s", F.col("most.comp").alias("most"), (F.col("all") - F.col("most.rows")).alias("others")), "set-open-lists")
+        lists = self.keep(lists.select("s", F.col("most.comp").alias("most"), (F.col("all") - F.col("most.rows")).alias("others"), F.col("all").alias("rows")), "set-open-lists")
         return self.keep(mine.join(self.near(lists), "s"), "set-open")
 
     def further(self, leaders: DataFrame, now: DataFrame) -> DataFrame:
@@ -280,15 +286,34 @@ class Join:
         of_lead = F.col("na") - _ones(F.zip_with("lacked", "lacked_x", lambda a, b: a.bitwiseOR(b)))
         others = _ones(F.zip_with("extra", "extra_x", lambda a, b: a.bitwiseAND(b))) + F.least(collisions("n", "lacked", "extra"), collisions("n_x", "lacked_x", "extra_x"))
         may = F.coalesce((100 + self.percent) * (of_lead + others) >= self.percent * (F.col("n") + F.col("n_x")), F.lit(True))  # not known of sets that did not fit the lead
-        fit = now.join(self.near(x), "s").where((F.col("comp") != F.col("comp_x")) & _fits(F.col("n"), F.col("reach"), F.col("n_x"), F.col("reach_x"), self.percent)).where(may)
+        fit = now.join(self.near(x, BROADCAST_LEADERS), "s").where((F.col("comp") != F.col("comp_x")) & _fits(F.col("n"), F.col("reach"), F.col("n_x"), F.col("reach_x"), self.percent)).where(may)
         return fit.select(F.least("key", "key_x").alias("a"), F.greatest("key", "key_x").alias("b")).distinct()
 
+    @staticmethod
+    def drawn(key: str, salt: int, of: str, wanted: int) -> Column:
+        """Whether an id is drawn: about ``wanted`` of as many as the column ``of`` says, all if there are no more."""
+        return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 20)) * F.col(of) < F.lit(wanted << 20)
+
+    def met(self, compared: DataFrame, now: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
+        """``compared`` with the comparisons of the leaders of ``now`` with ``members`` that may link and are not done."""
+        done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = self.further(now.where("leads"), members).join(done, ["a", "b"], "left_anti")
+        return compared.unionByName(self.compared(pairs, nodes).drop(*KNOWN[1:]))
+
+    def relabelled(self, now: DataFrame, labels: DataFrame) -> DataFrame:
+        """``now`` with new components; what leads by then is of the list's largest one leads no more."""
+        out = now
+        for name, node in (("comp", "key"), ("most", "most")):
+            new = labels.select(F.col("node").alias(node), F.col("comp").alias("new"))
+            out = out.join(new, node, "left").withColumn(name, F.coalesce("new", name)).drop("new")
+        return self.keep(out.withColumn("leads", F.col("leads") & (F.col("comp") != F.col("most"))), "set-leads-of")
+
     def run(self, sets: DataFrame) -> DataFrame:
         """(node, comp) of all sets that link another one, from the classes' sets."""
         led = self.led(self.held(sets))
         nodes = self.nodes(led)
         compared = self.compared(led.where("fits").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct(), nodes, derive=True)
-        labels = self.labels(compared, 0)
+        labels = self.labels(compared, 0)  # numbered on, two for a round
         often = self.keep(compared.groupBy("a", "b").count().where("count > 1").select("a", "b"), "set-often")  # ids with several texts
         once = compared.join(often, ["a", "b"], "left_anti").select(F.col("a").alias("lead"), F.col("b").alias("key"), *KNOWN)
         first = self.open_lists(led.where("rows > 2").select("s", "key", "n", "reach", "lead"), labels)
@@ -297,15 +322,15 @@ class Join:
         leading, round_ = LEADERS, 0
         while not (now := self.open_lists(held, labels)).isEmpty():
             round_ += 1
-            drawn = F.pmod(F.xxhash64("key", F.lit(round_)), F.lit(1 << 20)) * F.col("others") < F.lit(leading << 20)
-            leads = (F.col("comp") != F.col("most")) & drawn
-            pairs = self.further(now.where(leads), now)
-            done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            compared = compared.unionByName(self.compared(pairs.join(done, ["a", "b"], "left_anti"), nodes).drop(*KNOWN[1:]))
-            labels = self.labels(compared, round_)
-            held = self.keep(now.where(~leads).select("s", "key", "n", "reach", *KNOWN), "set-rest")
+            drawn = self.drawn("key", round_, "others", leading)
+            now = self.keep(now.withColumn("leads", (F.col("comp") != F.col("most")) & drawn), "set-leads-of")
+            compared = self.met(compared, now, now.where(self.drawn("key", -round_, "rows", PROBES)), nodes)
+            now = self.relabelled(now, self.labels(compared, 2 * round_ - 1))  # most leaders are linked now; the others alone meet all
+            compared = self.met(compared, now, now, nodes)
+            labels = self.labels(compared, 2 * round_)
+            held = self.keep(now.where("NOT leads").select("s", "key", "n", "reach", *KNOWN), "set-rest")
             leading *= 2
-        self.keep.drop("set-held", "set-led", "set-keys", "set-texts", "set-compared", "set-open", "set-open-lists", "set-often", "set-pairs", "set-leads", "set-leaders", "set-rest", *[f"set-labels-{k}" for k in range(round_)])
+        self.keep.drop("set-held", "set-led", "set-keys", "set-texts", "set-compared", "set-open", "set-open-lists", "set-often", "set-pairs", "set-leads", "set-leads-of", "set-leaders", "set-rest", *[f"set-labels-{k}" for k in range(2 * round_)])
         return labels
 
 
