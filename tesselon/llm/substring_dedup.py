@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import col, record, stored, text_slices
+from tesselon.llm.common import Scratch, col, record, text_slices
 from tesselon.llm.hashing import Ranges, WordHashes, mixed
 
 WINDOW = 50
@@ -151,23 +151,27 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     spans: start, end, start, end ... of removed words; factors: from, to, the document they copy and the place there.
     """
-    docs = stored(parsed(df, key, text), "rlz-docs")
-    blocks = docs.where("key IS NOT NULL").select("key", "dig", F.explode("blocks").alias("b")).select("b.*", "key", "dig")
-    twins = stored(docs.groupBy("sha").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("sha", "first"), "rlz-twins")
-    docs = docs.select("key", "dig", "n_words", "sha").join(twins.select("sha", "first"), "sha", "left").withColumn("copy", F.coalesce(F.col("key") > F.col("first"), F.lit(False)))
-    copies = stored(docs.where("copy").select("key", "dig").distinct(), "rlz-copies")
-    shared = stored(blocks.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z").select("h"), "rlz-anchors")
-    held = stored(blocks.join(shared, "h"), "rlz-blocks")
-    firsts = stored(held.groupBy("h", "ctx").agg(F.min(F.struct("key", "lo")).alias("first")), "rlz-firsts")
-    several = stored(firsts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.lit(True).alias("several")), "rlz-several")
-    index = stored(firsts.join(several, "h", "left").select("h", "ctx", F.col("first.key").alias("doc"), F.col("first.lo").alias("place"), "several"), "rlz-index")
+    keep = Scratch(df.sparkSession)
+    found = keep(parsed(df, key, text), "rlz-parsed")
+    blocks = found.where("key IS NOT NULL").select("key", "dig", F.explode("blocks").alias("b")).select("b.*", "key", "dig")
+    twins = keep(found.groupBy("sha").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("sha", "first"), "rlz-twins")
+    docs = found.select("key", "dig", "n_words", "sha").join(twins, "sha", "left").withColumn("copy", F.coalesce(F.col("key") > F.col("first"), F.lit(False)))
+    docs = keep(docs, "rlz-docs")
+    copies = docs.where("copy").select("key", "dig").distinct()
+    shared = keep(blocks.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z").select("h"), "rlz-anchors")
+    held = keep(blocks.join(shared, "h"), "rlz-blocks")
+    keep.drop("rlz-parsed", "rlz-twins", "rlz-anchors")
+    firsts = keep(held.groupBy("h", "ctx").agg(F.min(F.struct("key", "lo")).alias("first")), "rlz-firsts")
+    several = keep(firsts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.lit(True).alias("several")), "rlz-several")
+    index = keep(firsts.join(several, "h", "left").select("h", "ctx", F.col("first.key").alias("doc"), F.col("first.lo").alias("place"), "several"), "rlz-index")
     factors = held.join(index, ["h", "ctx"]).where("key > doc OR several").select("key", "dig", F.struct("lo", "hi", (F.col("key") == F.col("doc")).alias("open"), "doc", "place").alias("span"))
     factors = factors.join(copies, ["key", "dig"], "left_anti").groupBy("key", "dig").agg(F.collect_list("span").alias("spans"))  # as many as a document has blocks at most
     body = F.coalesce(col(text).cast("string"), F.lit(""))
     texts = df.select(col(key).cast("long").alias("key"), F.xxhash64(body).alias("dig"), body.alias("text"))
-    touched = stored(texts.join(factors, ["key", "dig"]), "rlz-touched")
-    windows = stored(touched.where(F.exists("spans", lambda x: x["open"])).select("key", "dig", "text", "spans").mapInArrow(_open_windows, "h long, w long, key long, dig long, at int"), "rlz-windows")
-    first = stored(windows.groupBy("h", "w").agg(F.min(F.struct("key", "at")).alias("a"), F.max("key").alias("z")).where("a.key < z").select("h", "w", F.col("a.key").alias("doc"), F.col("a.at").alias("place")), "rlz-first")
+    touched = keep(texts.join(factors, ["key", "dig"]), "rlz-touched")
+    keep.drop("rlz-blocks", "rlz-firsts", "rlz-several", "rlz-index")
+    windows = keep(touched.where(F.exists("spans", lambda x: x["open"])).select("key", "dig", "text", "spans").mapInArrow(_open_windows, "h long, w long, key long, dig long, at int"), "rlz-windows")
+    first = keep(windows.groupBy("h", "w").agg(F.min(F.struct("key", "at")).alias("a"), F.max("key").alias("z")).where("a.key < z").select("h", "w", F.col("a.key").alias("doc"), F.col("a.at").alias("place")), "rlz-first")
     starts = windows.join(first, ["h", "w"]).where("key > doc").groupBy("key", "dig").agg(F.collect_set(F.struct("at", "doc", "place")).alias("starts"))
     cut = touched.join(starts, ["key", "dig"], "left").select("key", "text", "spans", "starts").mapInArrow(_cut, _CUT_SQL)
     whole = F.col("copy") & (F.col("n_words") >= WINDOW)
