@@ -37,6 +37,19 @@ def copies(seed=1, groups=12):
     return list(enumerate(out))
 
 
+def family(first, seed=4, n=40, words=90, edits=4):
+    """Texts that differ from one base by so many words that some link, some don't, and lists of them stay open."""
+    r = random.Random(seed)
+    base = [f"x{k}" for k in range(words)]
+    out = []
+    for k in range(n):
+        text = list(base)
+        for _ in range(r.randint(1, edits)):
+            text[r.randrange(words)] = f"y{r.randrange(40)}"
+        out.append((first + k, " ".join(text)))
+    return out
+
+
 def frame(spark, texts):
     return spark.createDataFrame([(k, t, "en", "h.example", 1) for k, t in texts], "doc_id long, text string, lang string, source string, key int")
 
@@ -69,14 +82,19 @@ def test_code_lengths_are_limited_and_complete():
 @pytest.mark.parametrize("seed", (1, 2))
 def test_substrings(spark, seed):
     docs = copies(seed)
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.deduplicated(frame(spark, docs)).collect()}
-    assert got == brute.op3(docs)
-
-
-@pytest.mark.parametrize("limit", (ngram_join.CLUSTER_SHINGLES, 0))
-def test_ngrams(spark, limit, monkeypatch):
-    monkeypatch.setattr(ngram_join, "CLUSTER_SHINGLES", limit)
-    docs = copies(3, 6)
+    found = substring_dedup.deduplicated(frame(spark, docs)).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found} == brute.op3(docs)
+    words = {d: (t or "").split() for d, t in docs}
+    for r in found:  # each factor is in an earlier document, and ends where that one's words differ or end
+        for f in r["factors"]:
+            assert f["doc"] < r["doc_id"] and f["to"] - f["from"] >= substring_dedup.WINDOW
+            assert words[r["doc_id"]][f["from"] : f["to"]] == words[f["doc"]][f["place"] : f["place"] + f["to"] - f["from"]]
+
+
+@pytest.mark.parametrize("leaders", (ngram_join.LEADERS, 1))
+def test_ngrams(spark, leaders, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEADERS", leaders)
+    docs = [*copies(3, 6), *family(300)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.components_of(frame(spark, docs)).collect()}
     assert got == brute.op10(docs)
 
@@ -99,12 +117,65 @@ def test_rows(spark):
     assert not found[0] and not found[1] and found[8] is not None
 
 
+def test_many_spans_in_one_text(spark):
+    import time
+
+    text = " \u00e9 ".join(f"u{k}@h.example 10.0.{k % 256}.1" for k in range(30000))
+    df = frame(spark, [(1, text), (2, None), (1, text[:200]), (3, "a@b.c"), (4, "x" * 5000 + " a@b.cd,+1 555 123 4567 " + "\u00e9" * 3000 + " 1.2.3.4@h.com")])
+    df = df.withColumn("n_chars", df.key.cast("long")).withColumn("pii", df.key)
+    began = time.perf_counter()
+    got = {(r["doc_id"], r["n_email"], r["base_sha256"]) for r in pii.report(df).collect()}
+    assert got == {(k, brute.op9(t)[0], brute.op9(t)[4]) for k, t in ((r["doc_id"], r["text"]) for r in df.collect())}
+    masked = {r["text"] for r in pii.masked(df).collect()}
+    assert time.perf_counter() - began < 90
+    assert " \u00e9 ".join(["<EMAIL> <IP>"] * 30000) in masked and "<EMAIL>" in masked and None in masked
+    assert "x" * 5000 + " <EMAIL>,<PHONE> " + "\u00e9" * 3000 + " <IP>" in masked
+
+
 def test_page():
     page = "<html><body><nav><a href=x>m</a></nav><div class='ad'>buy</div><article><h1>T &amp; u</h1><p><b>One,<br>two<p>Three  \n four<ul><li>x</ul></article><div id=comments><p>no</p></div><footer>f</footer></body></html>"
     assert html_text.main_text(page) == "T & u\nOne, two\nThree four\nx"
     assert html_text.main_text("") == "" and html_text.main_text("<!-- open") == ""
 
 
+def prose(k, n=30):
+    return " ".join(f"w{(k * 31 + i * 17) % 97}" + "," * (i % 7 == 0) for i in range(n))
+
+
+def test_page_wrappers_names_and_siblings():
+    a, b = prose(1), prose(2)
+    text = html_text.main_text
+    assert text(f'<body><div id="page-with-sidebar"><article><p>{a}</p></article><div class="sidebar"><p>{b}</p></div></div>') == a
+    assert text(f'<body><div class="has-comments no-menu"><p>{a}</p><p>{b}</p></div>') == f"{a}\n{b}"
+    assert text(f'<body><div class="header-main"><h1>T</h1><p>{a}</p></div>') == f"T\n{a}"
+    assert text(f'<body><article><p title="no hidden agenda here">{a}</p><p class="search-terms">{b}</p></article>') == f"{a}\n{b}"
+    assert text(f'<body><article><p hidden>{a}</p><p style="display: none">{a}</p><p class=notice>{a}</p><p>{b}</p></article>') == b
+    assert text(f'<body><div><article><p>{a}</p></article><article><p>{b}</p></article><article class="comment"><p>{b}</p></article></div>') == f"{a}\n{b}"
+    assert text(f"<body><article><header><h1>T</h1></header><p>{a}</p></article>") == a
+    deep = "<div>" * 3000 + f"<p>{a}</p>" + "</div>" * 3000
+    assert text(deep) == a
+    assert text(f"<body><article><p>{a}</p><a b='") == a
+
+
+def plain_page(title, paragraphs, noise):
+    """A page of known text, and that text: no tree, no scores."""
+    out = ["<!DOCTYPE html><html><head><title>x</title><script>if (a < b) '</p>'</script><style>p{}</style></head><body>"]
+    out.append(f"<nav><ul><li><a href=/>{noise}</a></li></ul></nav><div class='ad'>{noise}</div><article><h1>{title}</h1>")
+    out += [f"<p>{p.replace('&', '&amp;').replace('<', '&lt;')}" + "</p>" * (k % 2) + "<!-- c -->" for k, p in enumerate(paragraphs)]
+    out.append(f"</article><section id='comments'><p>{noise}</p></section><aside>{noise}</aside><form><p>{noise}</p></form><footer>{noise}</footer></body></html>")
+    return "".join(out), "\n".join([title, *(" ".join(p.split()) for p in paragraphs)])
+
+
+def test_pages_of_known_text(spark):
+    r = random.Random(8)
+    pages = [plain_page(prose(k, 4), [prose(k * 9 + j, r.randint(5, 60)).replace("w1", "&<\u00e9") + "  \n x" for j in range(r.randint(1, 8))], prose(k + 50, r.randint(1, 40))) for k in range(40)]
+    rows = [(k, "u", p) for k, (p, _) in enumerate(pages)] + [(100, None, None), (101, "u", ""), (0, "u", pages[0][0])]
+    df = spark.createDataFrame([(*x, 1) for x in rows], "page_id long, url string, html string, text int")
+    found = html_text.extracted(df).collect()
+    want = {k: t for k, (_, t) in enumerate(pages)} | {100: "", 101: ""}
+    assert len(found) == len(rows) and all((x["text"], x["n_chars"]) == (want[x["page_id"]], len(want[x["page_id"]])) for x in found)
+
+
 def test_empty_tables(spark):
     df = frame(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
