@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
@@ -97,12 +98,18 @@ class Store:
             raise RuntimeError("a transaction is open")
         self._base, self._state, self._savepoints = self.version, self._read(self.branch), []
 
+    @property
+    def open(self) -> bool:
+        """Whether a transaction is open."""
+        return self._state is not None
+
     def commit(self) -> int:
         if self._state is None:
             raise RuntimeError("no transaction is open")
         if self.version != self._base:
             self.rollback()
             raise ConflictError("another commit came first")
+        self._state["time"] = time.time()
         self._write(self.branch, self._base + 1, self._state)
         self._state = None
         return self.version
@@ -132,16 +139,92 @@ class Store:
     def create_branch(self, name: str) -> None:
         if self._versions(name):
             raise ValueError(f"branch {name!r} exists")
-        self._write(name, 1, self._read(self.branch))
+        self._write(name, 1, self._read(self.branch) | {"base": [self.branch, self.version]})
 
     def checkout(self, name: str) -> None:
         if name != "main" and not self._versions(name):
             raise KeyError(f"no branch {name!r}")
         self.branch = name
 
+    def merge_branch(self, source: str, resolve: Callable[[str], str] | None = None) -> list[str]:
+        """Takes the tables over that ``source`` changed since it left this branch; returns their names.
+
+        A table that both changed is a conflict, unless ``resolve`` says 'ours' or 'theirs' for its name.
+        """
+        theirs = self._read(source)
+        base_branch, base_version = theirs.get("base", [None, None])
+        if base_branch != self.branch:
+            raise ConflictError(f"{source!r} did not leave {self.branch!r}")
+        base, taken = self._read(self.branch, base_version), []
+
+        def edit(state: dict[str, Any]) -> None:
+            for name in sorted({*base["tables"], *theirs["tables"], *state["tables"]}):
+                old, own, new = (x["tables"].get(name) for x in (base, state, theirs))
+                if new in (old, own):
+                    continue
+                if own != old and (resolve is None or resolve(name) not in ("ours", "theirs")):
+                    raise ConflictError(f"both branches change {name!r}")
+                if own != old and resolve(name) == "ours":
+                    continue
+                taken.append(name)
+                if new is None:
+                    del state["tables"][name]
+                else:
+                    state["tables"][name] = new
+
+        self._change(edit)
+        return taken
+
+    def revert(self, version: int) -> int:
+        """The state of an older version as the newest one."""
+        old = self._read(self.branch, version)
+
+        def edit(state: dict[str, Any]) -> None:
+            state.clear()
+            state.update(old)
+
+        self._change(edit)
+        return self.version
+
+    def version_at(self, when: float) -> int:
+        """The newest version committed by a time in seconds since 1970."""
+        found = [v for v in self._versions(self.branch) if self._read(self.branch, v).get("time", 0) <= when]
+        if not found:
+            raise KeyError("no version is that old")
+        return found[-1]
+
     # ---------------------------------------------------------- definitions
 
-    def create_table(self, name: str, schema: T.StructType | str, *, primary_key: Sequence[str] = (), unique: Sequence[Sequence[str]] = (), not_null: Sequence[str] = (), checks: Sequence[str] = (), foreign_keys: Sequence[Mapping[str, Any]] = (), defaults: Mapping[str, str] | None = None, autoincrement: str | None = None, if_not_exists: bool = False) -> None:
+    def create_schema(self, name: str, if_not_exists: bool = False) -> None:
+        """Tables of a schema have names of the form schema__table."""
+
+        def edit(state: dict[str, Any]) -> None:
+            known = state.setdefault("schemas", [])
+            if name in known and not if_not_exists:
+                raise ValueError(f"schema {name!r} exists")
+            if name not in known:
+                known.append(name)
+
+        self._change(edit)
+
+    def drop_schema(self, name: str, if_exists: bool = False, cascade: bool = False) -> None:
+        def edit(state: dict[str, Any]) -> None:
+            known = state.setdefault("schemas", [])
+            if name not in known:
+                if if_exists:
+                    return
+                raise KeyError(f"no schema {name!r}")
+            own = [x for kind in ("tables", "views") for x in state[kind] if x.startswith(f"{name}__")]
+            if own and not cascade:
+                raise ConstraintError(f"schema {name!r} has tables or views")
+            for x in own:
+                state["tables"].pop(x, None)
+                state["views"].pop(x, None)
+            known.remove(name)
+
+        self._change(edit)
+
+    def create_table(self, name: str, schema: T.StructType | str, *, primary_key: Sequence[str] = (), unique: Sequence[Sequence[str]] = (), not_null: Sequence[str] = (), checks: Sequence[str] = (), foreign_keys: Sequence[Mapping[str, Any]] = (), defaults: Mapping[str, str] | None = None, autoincrement: str | None = None, if_not_exists: bool = False, named: Mapping[str, Any] | None = None) -> None:
         """``foreign_keys``: columns, table, references, on_delete and on_update (restrict, cascade, set_null, set_default)."""
         schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
@@ -152,7 +235,7 @@ class Store:
                 raise ValueError(f"table {name!r} exists")
             state["tables"][name] = {
                 "schema": schema.json(), "files": [], "primary_key": list(primary_key), "unique": [list(u) for u in unique], "not_null": sorted({*not_null, *primary_key}),
-                "checks": list(checks), "foreign_keys": [dict(f) for f in foreign_keys], "defaults": dict(defaults or {}), "autoincrement": autoincrement,
+                "checks": list(checks), "foreign_keys": [dict(f) for f in foreign_keys], "defaults": dict(defaults or {}), "autoincrement": autoincrement, "named": {k: list(v) for k, v in (named or {}).items()},
             }
 
         self._change(edit)
@@ -284,6 +367,22 @@ class Store:
         rows = [(t, f.name, f.dataType.simpleString(), f.name not in i["not_null"], f.name in i["primary_key"], i["defaults"].get(f.name)) for t, i in self.state()["tables"].items() for f in T.StructType.fromJson(json.loads(i["schema"]))]
         return self.spark.createDataFrame(rows, "table_name string, column_name string, data_type string, nullable boolean, primary_key boolean, column_default string")
 
+    def constraints(self) -> DataFrame:
+        """(table_name, constraint_name, kind, definition) of all tables; unnamed ones have NULL."""
+        rows = []
+        for name, info in self.state()["tables"].items():
+            names = {json.dumps(v): k for k, v in info.get("named", {}).items()}
+            rows += [(name, None, "primary key", ", ".join(info["primary_key"]))] * bool(info["primary_key"])
+            rows += [(name, names.get(json.dumps([kind, v])), label, v if isinstance(v, str) else ", ".join(v) if kind == "unique" else f"{', '.join(v['columns'])} -> {v['table']} ({', '.join(v['references'])})") for kind, label in (("unique", "unique"), ("checks", "check"), ("foreign_keys", "foreign key")) for v in info[kind]]
+        return self.spark.createDataFrame(rows, "table_name string, constraint_name string, kind string, definition string")
+
+    def catalog(self) -> DataFrame:
+        """(kind, name, detail) of schemas, tables, views and triggers."""
+        state = self.state()
+        rows = [("schema", x, None) for x in state.get("schemas", [])] + [("table", x, f"{len(i['files'])} files") for x, i in state["tables"].items()] + [("view", x, text) for x, text in state["views"].items()]
+        rows += [("trigger", x, f"{t['when']} {t['event']} on {t['table']}: {t['function']}") for x, t in state.get("triggers", {}).items()]
+        return self.spark.createDataFrame(rows, "kind string, name string, detail string")
+
     # ---------------------------------------------------------- rows
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
@@ -582,9 +681,12 @@ class Store:
         """Statements that make the tables anew."""
         out = []
         for name, info in self.state()["tables"].items():
-            columns = [f"{f.name} {f.dataType.simpleString()}" + (" NOT NULL" if f.name in info["not_null"] else "") + (f" DEFAULT {info['defaults'][f.name]}" if f.name in info["defaults"] else "") for f in T.StructType.fromJson(json.loads(info["schema"]))]
-            keys = [f"PRIMARY KEY ({', '.join(info['primary_key'])})"] * bool(info["primary_key"]) + [f"UNIQUE ({', '.join(u)})" for u in info["unique"]] + [f"CHECK ({c})" for c in info["checks"]]
-            keys += [f"FOREIGN KEY ({', '.join(f['columns'])}) REFERENCES {f['table']} ({', '.join(f['references'])}) " + " ".join(f"ON {w.upper()} {f.get(f'on_{w}', 'restrict').replace('_', ' ').upper()}" for w in ("delete", "update")) for f in info["foreign_keys"]]
+            columns = [f"{f.name} {f.dataType.simpleString()}" + " NOT NULL" * (f.name in info["not_null"]) + " AUTOINCREMENT" * (f.name == info["autoincrement"]) + (f" DEFAULT {info['defaults'][f.name]}" if f.name in info["defaults"] else "") for f in T.StructType.fromJson(json.loads(info["schema"]))]
+            names = {json.dumps(v): f"CONSTRAINT {k} " for k, v in info.get("named", {}).items()}
+            keys = [f"PRIMARY KEY ({', '.join(info['primary_key'])})"] * bool(info["primary_key"])
+            keys += [names.get(json.dumps(["unique", u]), "") + f"UNIQUE ({', '.join(u)})" for u in info["unique"]]
+            keys += [names.get(json.dumps(["checks", c]), "") + f"CHECK ({c})" for c in info["checks"]]
+            keys += [names.get(json.dumps(["foreign_keys", f]), "") + f"FOREIGN KEY ({', '.join(f['columns'])}) REFERENCES {f['table']} ({', '.join(f['references'])}) " + " ".join(f"ON {w.upper()} {f.get(f'on_{w}', 'restrict').replace('_', ' ').upper()}" for w in ("delete", "update")) for f in info["foreign_keys"]]
             out.append(f"CREATE TABLE {name} ({', '.join(columns + keys)})")
         return out
 

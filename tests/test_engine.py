@@ -4,7 +4,7 @@ import pytest
 
 from tesselon.plans.engine import Engine, bind
 from tesselon.sources.export import batches, export, shown
-from tesselon.sources.store import ConstraintError
+from tesselon.sources.store import ConflictError, ConstraintError
 
 
 @pytest.fixture
@@ -268,3 +268,86 @@ def test_unique_index(db):
     db.query("DROP INDEX i")
     db.query("INSERT INTO t VALUES (1)")
     assert rows(db.query("SELECT * FROM t")) == [(1,), (1,)]
+
+
+def test_library_functions_in_statements(db):
+    db.query("CREATE TABLE t (id INTEGER PRIMARY KEY, j TEXT, s TEXT)")
+    db.query("INSERT INTO t VALUES (1, ?, 'a.b')", ['{"a":{"b":[5,{"c":"DATE_ADD(x"}]}}'])
+    db.query("UPDATE t SET s = concat(SPLIT_PART(s, '.', 2), JSON_EXTRACT(j, 'a.b.1.c')) WHERE JSON_EXTRACT(j, 'a.b.0') = '5'")
+    db.query("CREATE VIEW v AS SELECT SPLIT_PART(s, '.', 9) AS none, JSON_KEYS(j) AS k FROM t")
+    assert rows(db.query("SELECT s FROM t")) == [("bDATE_ADD(x",)]
+    assert rows(db.query("SELECT * FROM v")) == [(None, '["a"]')]
+    assert db.query("SELECT DATE_ADD(TIMESTAMP '2020-01-31 00:00:00', 1, 'month') = TIMESTAMP '2020-03-01 00:00:00', DATE_DIFF(DATE '2020-01-03', DATE '2020-01-01', 'days')").first() == (True, 2)
+
+
+def test_schemas(db):
+    db.query("CREATE SCHEMA shop")
+    db.query("CREATE TABLE shop.items (id INTEGER PRIMARY KEY, label TEXT)")
+    db.query("CREATE TABLE items (id INTEGER)")
+    db.query("INSERT INTO shop.items VALUES (1, 'shop.items')")
+    db.query("UPDATE shop.items SET label = concat(label, '!') WHERE id = 1")
+    assert rows(db.query("SELECT i.id, shop.items.label FROM shop.items JOIN shop.items i ON i.id = shop.items.id")) == [(1, "shop.items!")]
+    assert db.query("SELECT COUNT(*) FROM items").first()[0] == 0
+    with pytest.raises(ConstraintError):
+        db.query("DROP SCHEMA shop")
+    db.query("DROP SCHEMA shop CASCADE")
+    assert [r["table_name"] for r in db.store.tables().collect()] == ["items"]
+
+
+def test_merged_branches_and_reverted_versions(db):
+    import time
+
+    for t in ("a", "b"):
+        db.query(f"CREATE TABLE {t} (id INTEGER PRIMARY KEY)")
+        db.query(f"INSERT INTO {t} VALUES (1)")
+    store, before, when = db.store, db.store.version, time.time()
+    store.create_branch("dev")
+    db.query("INSERT INTO a VALUES (2)")
+    store.checkout("dev")
+    db.query("INSERT INTO b VALUES (3)")
+    store.checkout("main")
+    assert store.merge_branch("dev") == ["b"]
+    assert rows(db.query("SELECT * FROM a")) == [(1,), (2,)] and rows(db.query("SELECT * FROM b")) == [(1,), (3,)]
+    store.checkout("dev")
+    db.query("INSERT INTO a VALUES (9)")
+    store.checkout("main")
+    with pytest.raises(ConflictError):
+        store.merge_branch("dev")
+    assert store.merge_branch("dev", lambda name: "theirs") == ["a"]
+    assert rows(db.query("SELECT * FROM a")) == [(1,), (9,)]
+    assert store.version_at(when) == before
+    store.revert(before)
+    assert rows(db.query("SELECT * FROM a")) == [(1,)] == rows(db.query("SELECT * FROM b"))
+
+
+def test_dump_makes_the_same_tables(db, spark, tmp_path):
+    db.query("CREATE TABLE p (id INTEGER PRIMARY KEY AUTOINCREMENT, s VARCHAR(3) DEFAULT 'a', CONSTRAINT odd CHECK (id % 2 = 1), CONSTRAINT one UNIQUE (s))")
+    db.query("CREATE TABLE c (p INTEGER, CONSTRAINT up FOREIGN KEY (p) REFERENCES p (id) ON DELETE CASCADE)")
+    other = Engine(spark, str(tmp_path / "other"))
+    for text in db.store.ddl():
+        other.query(text)
+    assert other.store.ddl() == db.store.ddl()
+    assert sorted(map(str, other.store.constraints().collect())) == sorted(map(str, db.store.constraints().collect()))
+    other.query("ALTER TABLE p DROP CONSTRAINT odd")
+    other.query("INSERT INTO p (s) VALUES ('x'), ('y')")
+    assert {(r["kind"], r["name"]) for r in other.store.catalog().collect()} == {("table", "p"), ("table", "c")}
+
+
+def test_database_interface(spark, tmp_path):
+    from tesselon import dbapi
+
+    with dbapi.connect(spark, str(tmp_path / "d")) as con:
+        cur = con.cursor()
+        cur.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, s TEXT)")
+        assert cur.executemany("INSERT INTO t VALUES (?, ?)", [(k, f"s{k}") for k in range(3)]).rowcount == 3
+    cur.execute("SELECT id, s FROM t WHERE id > ? ORDER BY id", [0])
+    assert [d[0] for d in cur.description] == ["id", "s"]
+    assert cur.fetchone() == (1, "s1") and cur.fetchmany(5) == [(2, "s2")] and cur.fetchall() == []
+    assert cur.execute("DELETE FROM t").rowcount == 3
+    con.rollback()
+    assert len(cur.execute("SELECT * FROM t").fetchall()) == 3
+    with pytest.raises(dbapi.ProgrammingError):
+        cur.execute("SELECT nothing FROM t")
+    con.close()
+    with pytest.raises(dbapi.InterfaceError):
+        con.cursor()
