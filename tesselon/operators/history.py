@@ -124,11 +124,13 @@ def restored(log: DataFrame, table: str, ts) -> DataFrame:
 
 
 def pruned(log: DataFrame, before) -> DataFrame:
-    """The log with the changes up to a time put together to one insert for each row that then stood; later states are the same."""
+    """The log with the changes up to a time put together to one insert for each row that then stood, or its last delete; later states are the same."""
     old = log.where(F.col("ts") <= before)
     top = old.groupBy("table_name", "row_id").agg(F.max(F.struct("ts", "id")).alias("top"))
     names = [r[0] for r in old.select("table_name").distinct().collect()]  # a row for each table
-    out = log.where((F.col("ts") > before) | F.col("ts").isNull())
+    marks = old.groupBy("table_name", "row_id").agg(F.max(F.when(F.col("operation") != "update", F.struct("ts", "id", "operation"))).alias("mark"))
+    gone = marks.where("mark.operation = 'delete'").select(F.col("mark.id").alias("id"), F.col("mark.ts").alias("ts"), "table_name", "row_id", F.lit("delete").alias("operation"))
+    out = log.where((F.col("ts") > before) | F.col("ts").isNull()).unionByName(gone, allowMissingColumns=True)
     for name in names:
         rows = as_of(old, name).join(top.where(F.col("table_name") == name), "row_id")
         out = out.unionByName(rows.select(F.col("top.id").alias("id"), F.col("top.ts").alias("ts"), F.lit(name).alias("table_name"), "row_id", F.lit("insert").alias("operation"), F.col("values").alias("new_values")), allowMissingColumns=True)
